@@ -9,11 +9,13 @@ shingles (fewer words, but not none: the whole sequence as one). Documents are l
    Documents with equal sets (a 128-bit digest) are one class from here on, named by its smallest id; its copies are
    never paired. At similarity 0.8 a pair shares no band with probability 3e-6.
 2. Candidates. Classes that share a band meet: in buckets of at most ``SMALL`` classes all pairs, in larger ones each
-   class with a leader. Pairs whose set sizes or sketches rule the threshold out (beyond six standard deviations) go.
+   class with a leader. Pairs whose set sizes or sketches rule the threshold out (beyond five standard deviations) go.
 3. Confirmation on the full sets, from the texts, word by word.
-4. Larger buckets in which several components are left get further leaders, then all pairs of classes of different
-   components whose sketches allow a link, tested in the join. No bucket or group is cut; a group that hangs together
-   takes a number of pairs in proportion to its size.
+4. Larger buckets in which several components are left get further leaders. What is then still apart goes through an
+   exact prefix join: a class orders its shingles by rarity; two classes at the threshold share one of the first few,
+   at places that leave room for the rest of the overlap. Only classes of different components meet. Near copies that
+   differ by edits of their own start with shingles that hardly any other class has, so that a large group of them
+   makes few pairs. No bucket or group is cut.
 
 Rows with one doc_id are one document: linked where any of their texts is. Documents without words are linked with
 nothing; rows with a null id take no part, have a null component and are kept.
@@ -24,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, hashed, mixed, slices, written
@@ -106,12 +108,14 @@ class Signer:
 
 
 def most_ones(percent: int) -> int:
-    """The largest number of ones in the XOR of two odd sketches that a pair at the threshold may show: six standard
-    deviations of the differing samples above their mean, and four of the sketch's own collisions above that."""
+    """The largest number of ones in the XOR of two odd sketches that a pair at the threshold may show: the mean and
+    five standard deviations, of the number of differing samples and of the bits that they share."""
     j, m = percent / 100, 64 * SKETCH_WORDS
-    differ = 2 * min(SAMPLES, SAMPLES * (1 - j) + 6 * np.sqrt(SAMPLES * j * (1 - j)))
+    differ = 2 * SAMPLES * (1 - j)
     ones = m / 2 * (1 - np.exp(-2 * differ / m))
-    return int(np.ceil(ones + 4 * np.sqrt(ones * (1 - ones / m))))
+    samples = 2 * np.sqrt(SAMPLES * j * (1 - j)) * np.exp(-2 * differ / m)
+    bits = np.sqrt(m / 4 * (1 - np.exp(-4 * differ / m)))
+    return int(np.ceil(ones + 5 * np.hypot(samples, bits)))
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -200,22 +204,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     roots = components(links)
     large = written(members.where(F.col("size") > SMALL).select("band", "rep").join(sketches, "rep"))
     for step in range(LEADER_ROUNDS + 1):
-        now = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed_buckets = now.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("rep", F.xxhash64("rep", "band", F.lit(step))).alias("leader")).where("r0 < r1")
-        now = written(now.join(mixed_buckets.select("band", "leader"), "band"))
+        now = _open_buckets(large, roots, step)
         if now.isEmpty():
             break
         if step < LEADER_ROUNDS:
-            lead = now.where("rep = leader")
-            met = F.expr("x.band = y.band and x.root <> y.root")
+            met = F.expr("x.band = y.band and x.root <> y.root") & _may_link(percent)
+            pairs = now.where("rep = leader").alias("x").join(now.alias("y"), met).select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v")).distinct()
         else:
-            lead = now
-            met = F.expr("x.band = y.band and x.root < y.root")
-        pairs = written(lead.alias("x").join(now.alias("y"), met & _may_link(percent)).select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v")).where("u < v").distinct())
-        more = _confirmed(pairs, texts, k, percent)
-        if more.isEmpty():
-            continue
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+            pairs = _filtered(_prefix_pairs(now, texts, k, percent), sketches, percent)
+        more = _confirmed(written(pairs), texts, k, percent)
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     of_key = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("of_class"))
     out = signed.select("doc_id", "n", "key").join(of_key, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
@@ -223,6 +222,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _open_buckets(large: DataFrame, roots: DataFrame, step: int) -> DataFrame:
+    """The rows of ``large`` (band, rep, ...) in buckets of several components, with root and the bucket's leader."""
+    now = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = now.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("rep", F.xxhash64("rep", "band", F.lit(step))).alias("leader")).where("r0 < r1")
+    return written(now.join(several.select("band", "leader"), "band"))
+
+
+def _prefix_pairs(now: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """u, v: all pairs of classes in ``now`` of different components that can reach the threshold, by a prefix join."""
+
+    def run(batches):
+        known = WordHash()
+        for part in slices(batches):
+            flat, starts = hashed([words_of(t) for t in part.column("text").to_pylist()], known)
+            sets = [shingle_hashes(flat[a:b], k) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            n = np.array([len(x) for x in sets], np.int64)
+            which = np.repeat(np.arange(len(n)), n)
+            take = pa.array(which)
+            yield pa.RecordBatch.from_arrays([part.column("rep").take(take), part.column("root").take(take), pa.array(n[which]), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["rep", "root", "n", "h"])
+
+    nodes = written(now.select("rep", "root").distinct())
+    shingles = written(nodes.join(texts, "rep").select("rep", "root", "text").mapInArrow(run, "rep long, root long, n long, h long"), records=2000)
+    rarity = shingles.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    ordered = shingles.join(rarity, "h").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "h")))
+    prefix = written(ordered.where((F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1) & (F.col("r0") < F.col("r1"))).select("rep", "root", "n", "h", "place"))
+    n = F.col("x.n") + F.col("y.n")
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    met = F.expr("x.h = y.h and x.root < y.root") & sizes & (left * (100 + percent) >= n * percent)
+    return prefix.alias("x").join(prefix.alias("y"), met).select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v")).distinct()
+
+
 def _filtered(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     x = sketches.alias("x")
     y = sketches.alias("y")
