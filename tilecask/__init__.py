@@ -1,0 +1 @@
+"""A Spark-native engine for single-file pyramids of map tiles, and operators for training data."""
