@@ -82,12 +82,12 @@ def tile_zxy(tile) -> Column:
 
     def step(acc, i):
         s = F.call_function("shiftleft", one, i)
-        rx = F.call_function("shiftright", acc["t"], 1).bitwiseAND(one)
+        rx = F.shiftright(acc["t"], 1).bitwiseAND(one)
         ry = acc["t"].bitwiseXOR(rx).bitwiseAND(one)
         flip = (ry == 0) & (rx == 1)
         fx, fy = F.when(flip, s - 1 - acc["x"]).otherwise(acc["x"]), F.when(flip, s - 1 - acc["y"]).otherwise(acc["y"])
         nx, ny = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
-        return F.struct((nx + s * rx).alias("x"), (ny + s * ry).alias("y"), F.call_function("shiftright", acc["t"], 2).alias("t"))
+        return F.struct((nx + s * rx).alias("x"), (ny + s * ry).alias("y"), F.shiftright(acc["t"], 2).alias("t"))
 
     levels = F.when(z > 0, F.sequence(F.lit(0), F.greatest(z - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     zero = F.lit(0).cast("long")

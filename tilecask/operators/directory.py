@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import plain, ranged, with_previous, with_running_sum
+from ..plans.ordered import plain, ranged, with_previous, with_running_sum, with_running_sums
 
 
 def numbered(entries: DataFrame) -> DataFrame:
@@ -32,9 +32,8 @@ def encoded(numbered_entries: DataFrame) -> DataFrame:
 
 def decoded(coded: DataFrame) -> DataFrame:
     """ordinal, tile_id, run_length, offset, length: the inverse of ``encoded``."""
-    rows = with_running_sum(ranged(coded, "ordinal"), ["ordinal"], F.col("delta"), "tile_id", inclusive=True)
-    rows = with_running_sum(rows, ["ordinal"], F.col("length"), "before")
-    rows = with_running_sum(rows, ["ordinal"], (F.col("stored_offset") > 0).cast("long"), "piece", inclusive=True)
+    sums = {"tile_id": (F.col("delta"), True), "before": (F.col("length"), False), "piece": ((F.col("stored_offset") > 0).cast("long"), True)}
+    rows = with_running_sums(ranged(coded, "ordinal"), ["ordinal"], sums)
     base = plain(rows).where("stored_offset > 0").select("piece", (F.col("stored_offset") - 1 - F.col("before")).alias("base"))
     return plain(rows).join(base, "piece").select("ordinal", "tile_id", "run_length", (F.col("base") + F.col("before")).alias("offset"), "length")
 

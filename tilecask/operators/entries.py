@@ -37,7 +37,7 @@ def marked(hashed: DataFrame) -> DataFrame:
 
 def runs(hashed: DataFrame) -> DataFrame:
     """grp (in call order), tile_id, run_length and hash of each entry."""
-    rows = with_running_sum(marked(hashed), ["seq"], F.col("starts").cast("long"), "grp", inclusive=True)
+    rows = with_running_sum(ranged(plain(marked(hashed)), "seq"), ["seq"], F.col("starts").cast("long"), "grp", inclusive=True)
     return plain(rows).groupBy("grp").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run_length"), F.min("hash").alias("hash"))
 
 

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 RANGES = 1024
 _RANGE = "__range"
 
 
 def ranged(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """``df`` with the number of each row's range; nulls of ``order`` come first."""
+    """``df`` with the number of each row's range; nulls of ``order`` come first. ``df`` is stored first, as it is read
+    several times: for the borders, for the sums of ranges, and for the rows."""
+    df = stored(df)
     low, high = df.agg(F.min(order), F.max(order)).first()
     if low is None:
         return df.withColumn(_RANGE, F.lit(-1).cast("long"))
@@ -27,15 +31,25 @@ def _inside(order: list[str]):
     return Window.partitionBy(_RANGE).orderBy(*order)
 
 
+def with_running_sums(df: DataFrame, order: list[str], sums: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """``df`` (ranged) with a column for each of ``sums``: the sum of a value over all rows before, and the row itself
+    where it is inclusive."""
+    names = list(sums)
+    rows = df.withColumns({f"__v{i}": sums[n][0] for i, n in enumerate(names)})
+    totals = rows.groupBy(_RANGE).agg(*(F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))))
+    over = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
+    starts = totals.select(_RANGE, *(F.coalesce(F.sum(f"__t{i}").over(over), F.lit(0)).alias(f"__s{i}") for i in range(len(names))))
+
+    def total(i: int) -> Column:
+        frame = _inside(order).rowsBetween(Window.unboundedPreceding, 0 if sums[names[i]][1] else -1)
+        return (F.col(f"__s{i}") + F.coalesce(F.sum(f"__v{i}").over(frame), F.lit(0))).cast("long")
+
+    out = rows.join(F.broadcast(starts), _RANGE).withColumns({n: total(i) for i, n in enumerate(names)})
+    return out.drop(*(f"__{k}{i}" for k in "vs" for i in range(len(names))))
+
+
 def with_running_sum(df: DataFrame, order: list[str], value: Column, into: str, inclusive: bool = False) -> DataFrame:
-    """``df`` (ranged) with the sum of ``value`` over all rows before, and the row itself if ``inclusive``."""
-    rows = df.withColumn("__value", value)
-    totals = rows.groupBy(_RANGE).agg(F.sum("__value").alias("__total"))
-    before = F.sum("__total").over(Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1))  # over RANGES rows
-    starts = totals.select(_RANGE, F.coalesce(before, F.lit(0)).alias("__start"))
-    frame = _inside(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    summed = F.col("__start") + F.coalesce(F.sum("__value").over(frame), F.lit(0))
-    return rows.join(F.broadcast(starts), _RANGE).withColumn(into, summed.cast("long")).drop("__start", "__value")
+    return with_running_sums(df, order, {into: (value, inclusive)})
 
 
 def with_previous(df: DataFrame, order: list[str], columns: list[str], into: str = "previous") -> DataFrame:
