@@ -16,7 +16,7 @@ SCHEMA = "seq long, tile_id long, data binary, is_raw boolean"
 
 
 def tiles(spark, rows):
-    return spark.createDataFrame([(i, t, d, bool(r)) for i, (t, d, *r) in enumerate(rows)], SCHEMA)
+    return spark.createDataFrame([(i, t, d, bool(r and r[0])) for i, (t, d, *r) in enumerate(rows)], SCHEMA)
 
 
 def test_flat_archive(spark, tmp_path):
