@@ -142,9 +142,11 @@ def fold(doc_id: str, parts: int):
 
 
 def sample_of(docs: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows of ``docs`` that ``keys`` names, ``keys`` being cut to the ``n`` rows of lowest hash.
+    """One row of ``docs`` for each row of ``keys``, which holds a key once and is cut to the ``n`` rows of lowest hash.
 
-    ``n`` is the proven bound of what is broadcast and of what the caller collects.
+    ``n`` is the proven bound of what is broadcast and of what the caller collects: of rows with one key, each column's
+    least value is taken.
     """
     few = keys.orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key)).limit(n)
-    return docs.join(F.broadcast(few), key)
+    rows = docs.join(F.broadcast(few), key)
+    return rows.groupBy(*few.columns).agg(*[F.min(c).alias(c) for c in docs.columns if c != key])

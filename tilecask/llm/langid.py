@@ -83,7 +83,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     # Language and hash first, without texts: a window of narrow rows that keeps SAMPLE of each language.
     ranked = known.where(F.col(lang).isin(names)).select(lang, "__h").withColumn("__r", F.row_number().over(Window.partitionBy(lang).orderBy("__h")))
     few = ranked.where(F.col("__r") <= SAMPLE).select(lang, "__h")
-    got = known.join(F.broadcast(few), [lang, "__h"], "left_semi").collect()  # at most LANGUAGES * SAMPLE rows
+    # One text for each hash, so that an id that many rows repeat stays one row: at most LANGUAGES * SAMPLE rows.
+    got = known.join(F.broadcast(few), [lang, "__h"], "left_semi").groupBy(lang, "__h").agg(F.min(text).alias(text)).collect()
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: r["__h"]):
         by.setdefault(r[lang], []).append(r[text])

@@ -148,7 +148,7 @@ class FtrlClassifier:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", label: str = "quality", text: str = "text") -> FtrlClassifier:
     """A classifier from ``labels`` (key, label), of which the ``sample`` rows of lowest hash are used."""
-    keys = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, F.col(label).alias("__label")).dropDuplicates([key])
+    keys = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__label"))
     got = sample_of(docs.select(key, text), keys, key, sample).orderBy(key).select(text, "__label").collect()
     return FtrlClassifier().fit([r[0] for r in got], [int(r[1]) for r in got])
 
