@@ -105,8 +105,27 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _by_document(part: pa.RecordBatch, starts: np.ndarray, begin: np.ndarray, a: np.ndarray, h: np.ndarray):
+    """Equal (a, h) of one document as one row: columns a, h, doc, th and at (their places in it, in order); and which
+    of the given places each row was made from first."""
+    doc = np.searchsorted(starts[1:], begin, "right")
+    order = np.lexsort((begin, h, a, doc))
+    new = np.ones(len(order), bool)
+    for x in (doc[order], a[order], h[order]):
+        new[1:] &= x[1:] == x[:-1]
+    new[1:] = ~new[1:]
+    edges = np.r_[np.flatnonzero(new), len(order)].astype(np.int32)
+    first = order[edges[:-1]]
+    at = pa.ListArray.from_arrays(pa.array(edges), pa.array((begin - starts[doc])[order].astype(np.int32)))
+    row = pa.array(doc[first])
+    return [_signed(a[first]), _signed(h[first]), part.column("doc").take(row), part.column("th").take(row), at], first
+
+
 def _seeds(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """a, h (anchor and stretch), doc, th (the document row), at (first window), n (windows) of each occurrence."""
+    """a, h (anchor and stretch), doc, th (the document row), at (first windows) and n (windows) of the occurrences.
+
+    Occurrences of one stretch in one document are one row: a line that a document repeats makes no more rows.
+    """
 
     def run(batches):
         known, rolling = WordHash(), Rolling()
@@ -116,17 +135,15 @@ def _seeds(docs: DataFrame, size: int, gram: int) -> DataFrame:
             first, n = occurrences(begin, place)
             b = begin[first]
             stretch = rolling.run(sums, b, n + size - 1)
-            doc = np.searchsorted(starts[1:], b, "right")
-            yield pa.RecordBatch.from_arrays(
-                [_signed(grams[place[first]]), _signed(stretch), part.column("doc").take(pa.array(doc)), part.column("th").take(pa.array(doc)), pa.array((b - starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["a", "h", "doc", "th", "at", "n"],
-            )
+            columns, of = _by_document(part, starts, b, grams[place[first]], stretch)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n[of].astype(np.int32))], ["a", "h", "doc", "th", "at", "n"])
 
-    return docs.mapInArrow(run, "a long, h long, doc long, th long, at int, n int")
+    return docs.mapInArrow(run, "a long, h long, doc long, th long, at array<int>, n int")
 
 
 def _windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
-    """a, w (anchor and window), doc, th, at of each window of the occurrences in ``open`` (begins and numbers in turn)."""
+    """a, w (anchor and window), doc, th, at of the windows of the occurrences in ``open`` (begins and numbers in turn);
+    equal windows of one document are one row."""
 
     def run(batches):
         known, rolling = WordHash(), Rolling()
@@ -141,13 +158,10 @@ def _windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
                 np.add.at(edge, starts[d] + pairs[:, 0] + pairs[:, 1], -1)
             some = np.cumsum(edge)[begin] > 0
             b, p = begin[some], place[some]
-            doc = np.searchsorted(starts[1:], b, "right")
-            yield pa.RecordBatch.from_arrays(
-                [_signed(grams[p]), _signed(rolling.run(sums, b, size)), part.column("doc").take(pa.array(doc)), part.column("th").take(pa.array(doc)), pa.array((b - starts[doc]).astype(np.int32))],
-                ["a", "w", "doc", "th", "at"],
-            )
+            columns, _ = _by_document(part, starts, b, grams[p], rolling.run(sums, b, size))
+            yield pa.RecordBatch.from_arrays(columns, ["a", "w", "doc", "th", "at"])
 
-    return rows.mapInArrow(run, "a long, w long, doc long, th long, at int")
+    return rows.mapInArrow(run, "a long, w long, doc long, th long, at array<int>")
 
 
 def _kept(rows: DataFrame, size: int) -> DataFrame:
@@ -193,7 +207,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id:
     of_anchor = stretches.groupBy("a").agg(F.count("*").alias("kinds"), F.min("least").alias("a0"), F.max("most").alias("a1")).where("a0 < a1")
     shared = written(stretches.join(of_anchor, "a").where("least < most or kinds > 1").select("a", "h", "least", (F.col("kinds") > 1).alias("open")))
     met = seeds.join(shared, ["a", "h"]).where("least < doc or open")
-    pair = F.array(F.col("at"), F.col("n"))
+    pair = F.flatten(F.transform("at", lambda at: F.array(at, F.col("n"))))
     by_doc = met.groupBy("doc", "th").agg(
         F.flatten(F.collect_set(F.when(F.col("least") < F.col("doc"), pair))).alias("whole"), F.flatten(F.collect_set(F.when(F.col("least") == F.col("doc"), pair))).alias("open")
     )
@@ -201,7 +215,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id:
     opened = keyed.select("doc", "th", "text").join(by_doc.where(F.size("open") > 0).select("doc", "th", "open"), ["doc", "th"])
     windows = written(_windows(opened, size, gram), records=2000)
     least = windows.groupBy("a", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    single = windows.join(least, ["a", "w"]).where("least < doc").groupBy("doc", "th").agg(F.collect_set("at").alias("single"))
+    single = windows.join(least, ["a", "w"]).where("least < doc").groupBy("doc", "th").agg(F.flatten(F.collect_set("at")).alias("single"))
     found = by_doc.where(F.size("whole") > 0).select("doc", "th", "whole").join(single, ["doc", "th"], "full_outer")
     out = _kept(keyed.join(found, ["doc", "th"], "left").select("rest", "text", "whole", "single"), size)
     return out.select(*(F.col("text" if c == text else f"rest.c{i}").alias(c) for i, c in enumerate(own)), *new)
