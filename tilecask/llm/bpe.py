@@ -40,7 +40,7 @@ def byte_letters() -> list[str]:
 class BytePairCodec:
     """Encodes and decodes with a vocabulary file of the ``tokenizers`` JSON form (byte level, no normaliser)."""
 
-    memory = 300_000
+    memory = 150_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows are handed to numpy in slices of about so many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Arrow batches of documents have at most so many rows.
+RECORDS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +56,16 @@ def written(df: DataFrame, records: int | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to ``RECORDS``, which bounds the memory of executors and workers.
+
+    A plan reads the setting when it starts, not when it is made, so it cannot be held for one plan only.
+    """
+    now = int(spark.conf.get(BATCH))
+    if not 0 < now <= RECORDS:
+        spark.conf.set(BATCH, str(RECORDS))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of at most about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:
@@ -75,6 +87,7 @@ def appended(docs: DataFrame, fields: list[tuple[str, T.DataType]], make: Callab
     ``make()`` runs once in each task and returns a function from the texts of a slice (``None`` for null) to one list
     or array per field. Other columns pass through untouched, whatever they are called.
     """
+    small_batches(docs.sparkSession)
     names = {n.lower() for n, _ in fields}
     kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in names])
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in fields)])
@@ -100,7 +113,7 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 class WordHash(dict):
     """``bytes`` to a 64-bit hash, remembered; emptied at ``limit`` words so that its memory is bounded."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, hashed, mixed, slices, written
+from .common import WordHash, hashed, mixed, slices, small_batches, written
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
@@ -181,6 +181,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``. Ids are integers."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(_signatures(rows, k))
     # A class: all documents with one set. Its representative is its smallest id.

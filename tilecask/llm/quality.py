@@ -62,7 +62,7 @@ def shape(word: str) -> str:
 class Words(dict):
     """Word to a 64-bit hash with its shape in the low bits; emptied at ``limit`` words."""
 
-    limit = 300_000
+    limit = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, hashed, mixed, slices, written
+from .common import WordHash, hashed, mixed, slices, small_batches, written
 
 SIZE, GRAM = 50, 8
 LAST = (1 << 63) - 1
@@ -197,6 +197,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id:
 
     ``gram`` is at most ``size``; ids are integers.
     """
+    small_batches(docs.sparkSession)
     new = ["n_words", "n_removed", "kept_text"]
     own = [c for c in docs.columns if c.lower() not in new]
     rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own) if c != text))

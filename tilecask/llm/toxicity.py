@@ -51,7 +51,7 @@ class Words(dict):
     Rows are kept in a growing array; dictionary and array are emptied together.
     """
 
-    limit = 200_000
+    limit = 100_000
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
