@@ -84,3 +84,9 @@ def test_stream_upsert(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["tile_id"], bytes(r["data"])) for r in table.current(spark).collect()) == [(0, b"9"), (1, b"7"), (2, b"8")]
+
+
+def test_coverage_of_a_whole_table(spark, tmp_path):
+    spark.createDataFrame([(k, "O") for k in (0, 1, 20000)], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(r["tile"] for r in QUERIES["coverage_missing_whole"](spark, str(tmp_path)).collect())
+    assert got == sorted(set(range(60001)) - {0, 3, 60000})

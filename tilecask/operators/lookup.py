@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import _RANGE, ranged
+from ..plans.scratch import stored
 
 ENTRY = ["tile_id", "run_length", "offset", "length", "grp"]
 
@@ -46,6 +47,13 @@ def missing(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(expanded(entries).select("tile").distinct(), "tile", "left_anti")
 
 
+def gaps(entries: DataFrame) -> DataFrame:
+    """tile: the ids from 0 to the greatest covered one that no entry covers."""
+    entries = stored(entries)
+    top = entries.where("run_length > 0").agg(F.max(F.col("tile_id") + F.col("run_length"))).first()[0]
+    return missing(entries, entries.sparkSession.range(top or 0).withColumnRenamed("id", "tile"))
+
+
 def two_level(entries: DataFrame, leaves: DataFrame, probes: DataFrame) -> DataFrame:
     """A lookup through leaves: probes find the leaf by its first id, then the entry inside that leaf.
 
