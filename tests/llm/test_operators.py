@@ -136,6 +136,17 @@ def test_langid(docs, spark):
     assert langid.identified(docs, model).where("score between 0 and 1").count() == docs.count()
 
 
+def test_langid_learns_every_language(spark):
+    word = lambda i, j: hashlib.sha256(f"{i},{j}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:9]
+    text = lambda i: " ".join(word(i, j) for j in range(12))
+    n = langid.LANGUAGES + 30
+    known = [(2 * i + k, text(i), f"l{i:03}") for i in range(n) for k in range(1 if i >= langid.LANGUAGES else 2)]
+    model = langid.train(spark.createDataFrame(known, "doc_id long, text string, lang string"))
+    assert len(model.names) == n and sum(map(len, model.contents.values())) <= langid.LANGUAGES * langid.DICTIONARY
+    some = [*range(0, n, 17), n - 1]
+    assert [p[0] for p in model.predict_all([text(i) for i in some])] == [f"l{i:03}" for i in some]
+
+
 def test_chat(spark):
     told = "<|im_end|>\n<|im_start|>assistant ok"
     turns = [(1, 0, "user", told), (1, 1, "assistant", told), (1, 2, "assistant", "\n é日😀 <\\|<"), (2, 0, "assistant", None), (2, 0, "a\nb\\n", "x"), (None, None, None, "|im_end|>"), (3, 1, "assistant", "y" * 70000), (3, 2, "assistant", "\nz")]

@@ -16,6 +16,7 @@ import re
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,15 +24,19 @@ from pyspark.sql import types as T
 
 from .common import appended
 
-#: Learned documents of lowest hash for each language, and the bytes of each language's dictionary.
+#: Learned documents of lowest hash for each language, and the bytes of each language's dictionary at most.
 SAMPLE, DICTIONARY = 120, 48 << 10
-#: At most so many languages are learned: those with the most documents.
+#: Every language is learned. So many at a time have their dictionaries ready; beyond that dictionaries become smaller,
+#: so that all of them together have at most LANGUAGES * DICTIONARY bytes.
 LANGUAGES = 200
+#: Texts are scored in groups of at most so many sizes (texts times languages).
+SIZES = 1 << 22
 CHUNK = 2048
 LEVEL = 3
 MARGIN = 0.01
 
 
+_MADE = pa.schema([("name", pa.string()), ("content", pa.binary())])
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -52,43 +57,69 @@ def content(texts: list[str], size: int = DICTIONARY) -> bytes:
     return b"\n".join(picked)
 
 
+def dictionary_size(languages: int) -> int:
+    return min(DICTIONARY, LANGUAGES * DICTIONARY // max(1, languages))
+
+
 class CompressionClassifier:
     def __init__(self, contents: dict[str, bytes], margin: float = MARGIN):
         self.contents, self.margin = contents, margin
         self.names = sorted(contents)
-        self.squeeze = []
-        for name in self.names:
-            d = zstandard.ZstdCompressionDict(contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.squeeze.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        self.ready = self._squeezers(self.names) if len(self.names) <= LANGUAGES else None
         self.letter = re.compile(r"[^\W\d_]").search
 
+    def _squeezers(self, names: list[str]) -> list:
+        out = []
+        for name in names:
+            d = zstandard.ZstdCompressionDict(self.contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            out.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        return out
+
+    def _sizes(self, texts: list[str]) -> np.ndarray:
+        """The summed sizes of each text with each language's dictionary."""
+        raw = [plain(t) for t in texts]
+        chunks = [[r[i : i + CHUNK] for i in range(0, len(r), CHUNK)] for r in raw]
+        sizes = np.empty((len(texts), len(self.names)))
+        for at in range(0, len(self.names), LANGUAGES):
+            for j, f in enumerate(self.ready or self._squeezers(self.names[at : at + LANGUAGES]), at):
+                sizes[:, j] = [sum(len(f(c)) for c in cs) for cs in chunks]
+        return sizes
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        out = [("und", 0.0, False)] * len(texts)
+        known = [i for i, t in enumerate(texts) if t and self.letter(t)] if self.names else []
+        rows = max(1, SIZES // max(1, len(self.names)))
+        for at in range(0, len(known), rows):
+            some = known[at : at + rows]
+            for i, sizes in zip(some, self._sizes([texts[i] for i in some]), strict=True):
+                order = np.argsort(sizes, kind="stable")
+                best = sizes[order[0]]
+                odds = np.exp(-(sizes - best) / max(best, 1) * 50)
+                narrow = len(order) > 1 and (sizes[order[1]] - best) < self.margin * best
+                out[i] = self.names[order[0]], float(1 / odds.sum()), not narrow
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.names or not self.letter(text):
-            return "und", 0.0, False
-        raw = plain(text)
-        chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
-        sizes = np.array([sum(len(f(c)) for c in chunks) for f in self.squeeze], float)
-        order = np.argsort(sizes, kind="stable")
-        best = sizes[order[0]]
-        odds = np.exp(-(sizes - best) / max(best, 1) * 50)
-        narrow = len(order) > 1 and (sizes[order[1]] - best) < self.margin * best
-        return self.names[order[0]], float(1 / odds.sum()), not narrow
+        return self.predict_all([text])[0]
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", margin: float = MARGIN) -> CompressionClassifier:
-    """A classifier from the texts and languages of ``docs``: a bounded number of documents of each language."""
+    """A classifier from the texts and languages of ``docs``: every language, a bounded number of documents of each."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text, F.xxhash64(key, F.lit(5)).alias("__h"))
-    names = [r[0] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()]
-    # Language and hash first, without texts: a window of narrow rows that keeps SAMPLE of each language.
-    ranked = known.where(F.col(lang).isin(names)).select(lang, "__h").withColumn("__r", F.row_number().over(Window.partitionBy(lang).orderBy("__h")))
-    few = ranked.where(F.col("__r") <= SAMPLE).select(lang, "__h")
-    # One text for each hash, so that an id that many rows repeat stays one row: at most LANGUAGES * SAMPLE rows.
-    got = known.join(F.broadcast(few), [lang, "__h"], "left_semi").groupBy(lang, "__h").agg(F.min(text).alias(text)).collect()
-    by: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: r["__h"]):
-        by.setdefault(r[lang], []).append(r[text])
-    return CompressionClassifier({k: content(v[:SAMPLE]) for k, v in by.items()}, margin)
+    size = dictionary_size(known.select(lang).distinct().count())
+    # Language and hash first, without texts: a window of narrow rows that finds the highest hash of each SAMPLE.
+    ranked = known.select(lang, "__h").withColumn("__r", F.row_number().over(Window.partitionBy(lang).orderBy("__h")))
+    cuts = ranked.where(F.col("__r") <= SAMPLE).groupBy(F.col(lang).alias("__lang")).agg(F.max("__h").alias("__cut"))
+    # One text for each hash, so that an id that many rows repeat stays one row: at most SAMPLE rows of a language.
+    few = known.join(F.broadcast(cuts), (F.col(lang) == F.col("__lang")) & (F.col("__h") <= F.col("__cut")), "left_semi")
+    few = few.groupBy(F.col(lang).alias("name"), "__h").agg(F.min(text).alias("text"))
+
+    def made(name: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"name": [name[0].as_py()], "content": [content(rows.sort_by("__h").column("text").to_pylist(), size)]}, _MADE)
+
+    got = few.groupBy("name").applyInArrow(made, "name string, content binary").collect()
+    return CompressionClassifier({r["name"]: bytes(r["content"]) for r in got}, margin)
 
 
 def identified(docs: DataFrame, model: CompressionClassifier, text: str = "text", into: str = "lang_pred") -> DataFrame:
@@ -97,6 +128,6 @@ def identified(docs: DataFrame, model: CompressionClassifier, text: str = "text"
 
     def make():
         m = CompressionClassifier(*held.value)
-        return lambda texts: list(map(list, zip(*map(m.predict, texts), strict=True)))
+        return lambda texts: list(map(list, zip(*m.predict_all(texts), strict=True)))
 
     return appended(docs, [(into, T.StringType()), ("score", T.DoubleType()), ("reliable", T.BooleanType())], make, text)
