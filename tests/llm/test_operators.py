@@ -128,6 +128,17 @@ def test_toxicity(docs):
     assert (np.diff(steps(np.linspace(0, 5, 20))) >= 0).all()
 
 
+@pytest.mark.parametrize("n", [400, 2])
+def test_toxicity_steps_are_held_out(n):
+    rng = random.Random(5)
+    noise = lambda: " ".join(rng.choices(["a", "B!", "CC", "d?", "e-f", "you"], k=rng.randint(5, 90)))
+    # Labels that no text explains: steps fitted to rows that the trees have seen would be sure of them.
+    labels = [rng.randint(0, 1) for _ in range(400)] if n == 400 else [0, 1]
+    model = toxicity.ToxicityModel().fit([noise() for _ in labels], labels)
+    s = model.score([noise() for _ in range(400)], toxicity.Words(model.lexicon))
+    assert np.abs(s - np.mean(labels)).mean() < 0.15
+
+
 def test_langid(docs, spark):
     en, de = "the house and the garden of my friend were near the river ", "das Haus und der Garten meines Freundes lagen nahe an dem Fluss "
     known = spark.createDataFrame([(i, (en if i % 2 else de) * (1 + i % 3), "en" if i % 2 else "de") for i in range(40)] + [(99, "x", None)], "doc_id long, text string, lang string")

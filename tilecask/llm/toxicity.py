@@ -7,8 +7,9 @@ words once uncovered; length. The lexicon is a short fixed list of insults plus
 labelled rows by their log odds.
 
 The trees are fitted to the logistic loss on 32 quantile bins of each feature; scores then go through a non-decreasing
-step function fitted to labelled rows that the trees have not seen. Null and empty texts have all features 0. With no
-labelled row, or one label only, the score is the share of label 1 (0 if there are none).
+step function fitted to held-out margins: those of labelled rows under trees and learned words that have not seen the
+row. Null and empty texts have all features 0. With no labelled row, or one label only, the score is the share of label
+1 (0 if there are none).
 """
 
 from __future__ import annotations
@@ -220,6 +221,28 @@ class Isotonic:
         return np.interp(x, self.x, self.y)
 
 
+def _rows(texts: list[str | None], lexicon: dict[str, float]) -> np.ndarray:
+    known = Words(lexicon)
+    return np.concatenate([features(texts[i : i + 500], known) for i in range(0, len(texts), 500)])
+
+
+def _parts(y: np.ndarray, n: int) -> np.ndarray:
+    """A part of ``n`` for each row; rows of either label are dealt out evenly."""
+    part = np.empty(len(y), np.int64)
+    part[np.argsort(y, kind="stable")] = np.arange(len(y)) % n
+    return part
+
+
+def _held_out(x: np.ndarray, y: np.ndarray, part: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The margins of ``rows``, each part under trees fitted to all rows but that part."""
+    margins = np.zeros(len(rows))
+    for k in np.unique(part):
+        seen = np.ones(len(y), bool)
+        seen[rows[part == k]] = False
+        margins[part == k] = Trees().fit(x[seen], y[seen]).margin(x[rows[part == k]])
+    return margins
+
+
 class ToxicityModel:
     def fit(self, texts: list[str | None], labels: list[int]) -> ToxicityModel:
         y = np.asarray(labels, float)
@@ -230,13 +253,20 @@ class ToxicityModel:
         part = np.random.Generator(np.random.PCG64(3)).permutation(len(y)) % 4
         fit, hold = np.flatnonzero(part != 0), np.flatnonzero(part == 0)
         self.lexicon = lexicon_of([texts[i] for i in fit], y[fit])
-        known = Words(self.lexicon)
-        x = np.concatenate([features(texts[i : i + 500], known) for i in range(0, len(texts), 500)])
-        # The learned words were picked on the rows of ``fit``: the trees learn how far to trust them from other rows.
-        lexicon_rows = fit if len(set(y[hold])) < 2 else np.concatenate([fit, hold])
-        self.trees = Trees().fit(x[lexicon_rows], y[lexicon_rows])
-        calibrate = hold if len(set(y[hold])) == 2 else fit
-        self.steps = Isotonic().fit(self.trees.margin(x[calibrate]), y[calibrate])
+        x = _rows(texts, self.lexicon)
+        if len(set(y[hold])) == 2:
+            # The learned words were picked on the rows of ``fit``: the trees learn how far to trust them from other rows.
+            self.trees = Trees().fit(x, y)
+            margins = _held_out(x, y, _parts(y[hold], 2), hold)
+            self.steps = Isotonic().fit(margins, y[hold])
+        else:
+            self.trees = Trees().fit(x[fit], y[fit])
+            part, margins = _parts(y, 4), np.zeros(len(y))
+            for k in np.unique(part):  # no row is free of the learned words: each part gets words of its own
+                seen = part != k
+                own = _rows(texts, lexicon_of([t for t, s in zip(texts, seen, strict=True) if s], y[seen]))
+                margins[~seen] = Trees().fit(own[seen], y[seen]).margin(own[~seen])
+            self.steps = Isotonic().fit(margins, y)
         return self
 
     def score(self, texts: list[str | None], known: Words) -> np.ndarray:
