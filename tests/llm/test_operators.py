@@ -139,6 +139,13 @@ def test_toxicity_steps_are_held_out(n):
     assert np.abs(s - np.mean(labels)).mean() < 0.15
 
 
+def test_toxicity_uncovers_long_words():
+    known = toxicity.Words({"idiot": 1.5, "moron*": 2.0})
+    words = ["1d1ot", "i" + "-" * 60 + "d1ot", "m0r0n" * 20, "x1" * 50, "a" * 60 + "-" * 60, "1" * 5000 + "-", "plain" * 20]
+    rows = [known.table()[known[w]] for w in words for _ in [known[w]]]
+    assert [(float(r[0]), int(r[6]), int(r[7])) for r in rows] == [(1.5, 1, 1), (1.5, 1, 1), (2.0, 1, 1), (0, 1, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+
+
 def test_langid(docs, spark):
     en, de = "the house and the garden of my friend were near the river ", "das Haus und der Garten meines Freundes lagen nahe an dem Fluss "
     known = spark.createDataFrame([(i, (en if i % 2 else de) * (1 + i % 3), "en" if i % 2 else "de") for i in range(40)] + [(99, "x", None)], "doc_id long, text string, lang string")

@@ -41,7 +41,7 @@ STEMS = (6, 5)
 FEATURES = 14
 
 _signs = str.maketrans(SIGNS)
-_hides = re.compile(r"(?=.*[^\W\d_])(?=.*[\w@$!|*.\-][0-9@$!|*.\-]+[^\W\d_]|[0-9@$!|*]+[^\W\d_])").match
+_hides = re.compile(r"[\w@$!|*.\-][0-9@$!|*.\-][^\W\d_]|^[0-9@$!|*][^\W\d_]").search
 _letters = re.compile(r"[^\W\d_]+").findall
 _not_letters = re.compile(r"[\W\d_]+").sub
 
@@ -78,7 +78,7 @@ class Words(dict):
         else:
             upper = sum(map(str.isupper, word))
             other = sum(not c.isalnum() for c in word) - marks
-            hidden = int(not plain.isalpha() and len(plain) < 40 and _hides(plain) is not None)
+            hidden = int(not plain.isalpha() and _hides(plain) is not None)
             uncovered = 0
             if hidden and not weight:
                 weight = max(self.weight(_not_letters("", x)) for x in (plain.translate(_signs), plain))
