@@ -45,6 +45,21 @@ def test_leaves_caches_and_pushdown(spark, tmp_path):
     assert read_archive_bytes(spark, path).count() == 20000
 
 
+def test_pushdown_keeps_repeated_ids_and_long_runs(spark, tmp_path):
+    n = F.col("seq")
+    seq = spark.range(20000).withColumnRenamed("id", "seq")
+    repeated = seq.select("seq", F.expr("(seq + 1) div 2").alias("tile_id"), n.cast("string").cast("binary").alias("data"))
+    runs = seq.select(n, n.alias("tile_id"), F.lit("run").cast("binary").alias("data")).unionByName(seq.select((n + 20000).alias("seq"), n.alias("tile_id"), n.cast("string").cast("binary").alias("data")))
+    for name, rows, at in (("a", repeated, 2048), ("b", runs, 9000)):
+        path = str(tmp_path / name)
+        h = write_archive(rows, path, new_header("Png", internal_compression="None"))
+        assert h.leaf_length > 0 and not h.clustered
+        whole = [r["tile_id"] for r in read_archive(spark, path, "tiles").collect()]
+        for condition, holds in ((f"tile_id = {at}", at.__eq__), (f"tile_id >= {at}", at.__le__), (f"tile_id <= {at}", at.__ge__)):
+            got = sorted(r["tile_id"] for r in read_archive(spark, path, "tiles").where(condition).select("tile_id").collect())
+            assert got == sorted(filter(holds, whole))
+
+
 def test_dedup_raw_and_order(spark, tmp_path):
     path = str(tmp_path / "a")
     h = write_archive(tiles(spark, [(0, b"ABC"), (1, b"X"), (2, b"ABC"), (3, b""), (5, b"ABC")]), path, new_header("Png"))

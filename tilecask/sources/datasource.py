@@ -68,8 +68,10 @@ class Reader(DataSourceReader):
                     ids, run = d["tile_id"], d["run_length"]
                     if at < 0 and (run > 0).any():
                         out.append(Part(path, archive.version, 0, -1, 0))
+                    # A repeated id can be on both sides of a border; out of order, a run can reach beyond it.
                     upper = np.r_[ids[1:], MAX_TILE_ID + 1] if len(ids) else ids
-                    for i in np.flatnonzero((run == 0) & (upper > self.low) & (ids <= self.high)).tolist():
+                    reaches = upper >= self.low if archive.header.clustered else np.ones(len(ids), bool)
+                    for i in np.flatnonzero((run == 0) & reaches & (ids <= self.high)).tolist():
                         out.append(Part(path, archive.version, level + 1, int(d["offset"][i]), int(d["length"][i])))
             except E.ArchiveError:
                 if not self.permissive:
