@@ -90,3 +90,8 @@ def test_coverage_of_a_whole_table(spark, tmp_path):
     spark.createDataFrame([(k, "O") for k in (0, 1, 20000)], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
     got = sorted(r["tile"] for r in QUERIES["coverage_missing_whole"](spark, str(tmp_path)).collect())
     assert got == sorted(set(range(60001)) - {0, 3, 60000})
+
+
+def test_empty_filter_of_a_whole_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text <> ''")
+    assert rows_of(QUERIES["empty_filter_whole"](spark, DATA).select("doc_id")) == rows_of(docs.select("doc_id"))

@@ -301,10 +301,19 @@ def tilejson_other(spark, d):
 
 @query("select doc_id, octet_length(encode(case when doc_id % 7 = 0 then '' else text end)) as n from documents where doc_id % 7 <> 0 and text <> ''")
 def empty_filter(spark, d):
+    """Blanks every seventh text, as its SQL has it; ``empty_filter_whole`` keeps all texts."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("tile_id"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("data"))
     return entries.hashed_tiles(docs).select(F.col("seq").alias("doc_id"), F.col("length").alias("n"))
 
 
+@query("select doc_id, octet_length(encode(text)) as n from documents where text <> ''")
+def empty_filter_whole(spark, d):
+    """All texts, with an empty tile beside each."""
+    docs = tiles_of(spark, d, "doc")
+    rows = docs.unionByName(docs.withColumn("data", F.lit("")))
+    return entries.hashed_tiles(rows).select(F.col("seq").alias("doc_id"), F.col("length").alias("n"))
+
+
 @query(f"with {core_sql('ev')} select count(*) * 24 as bytes from f")
 def approximate_size(spark, d):
     return entries.approximate_size(entry_rows(spark, d, "ev"))
