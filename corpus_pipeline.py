@@ -24,8 +24,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.where(F.col("__quality") >= QUALITY).select(*docs.columns)
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row for each equal text among the rows of one doc_id, and among those of none: the least in its other columns."""
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("__digest")
+    one = docs.groupBy("doc_id", digest).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return written(one.select("__row.*"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more. Null ids stay."""
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Rows of one id are one document: all its texts stay, or none. Rows with a null id stay. Equal texts of one id, or of
+    null ids, stay once.
+    """
+    docs = without_copies(docs)
     out = neardup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
     return docs.join(out.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 

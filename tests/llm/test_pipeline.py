@@ -33,3 +33,13 @@ def test_stages(spark):
             assert set(after) == {d for d, *_, bad in brute.leaks(before, items) if not bad}
         assert i == 4 or docs.columns == columns
     assert docs.where("not round_trip").count() == 0 and docs.count() == len(before)
+
+
+def test_near_dedup_keeps_one_of_equal_rows(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, text("a")), (1, text("a")), (1, text("b")), (2, text("c")), (None, text("d")), (None, text("d")), (None, text("e")), (3, None), (3, None), (4, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t in rows for s in ("x", "y")], "doc_id long, text string, lang string, source string, n_chars int")
+    out = p.near_dedup(spark, docs, DATA)
+    want = [(1, text("a")), (1, text("b")), (2, text("c")), (None, text("d")), (None, text("e")), (3, None)]
+    assert out.columns == docs.columns and out.where("source = 'x'").count() == len(want)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, want))
