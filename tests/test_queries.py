@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tilecask.functions import tiles
-from tilecask.operators import entries
+from tilecask.operators import directory, entries, lookup
 from tilecask.queries import ORACLE_SQL, QUERIES
 from tilecask.streaming.upsert import TileTable
 
@@ -95,3 +95,11 @@ def test_coverage_of_a_whole_table(spark, tmp_path):
 def test_empty_filter_of_a_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text <> ''")
     assert rows_of(QUERIES["empty_filter_whole"](spark, DATA).select("doc_id")) == rows_of(docs.select("doc_id"))
+
+
+def test_two_level_looks_inside_the_leaf(spark):
+    # The root leads id 10 to leaf 1, which does not hold it; leaf 0 does.
+    rows = spark.createDataFrame([(0, 1, 0, 1, 1, 0), (10, 1, 1, 1, 2, 0), (5, 1, 2, 1, 3, 1), (7, 2, 3, 1, 4, 1)], "tile_id long, run_length long, offset long, length long, grp long, leaf long")
+    probes = spark.createDataFrame([(i, t) for i, t in enumerate([0, 5, 8, 9, 10])], "probe_id long, tile long")
+    got = lookup.two_level(rows, directory.leaves(rows), probes).orderBy("probe_id").collect()
+    assert [(r["leaf"], r["offset"], r["found"]) for r in got] == [(0, 0, True), (1, 2, True), (1, 3, True), (1, None, False), (1, None, False)]

@@ -9,7 +9,7 @@ forward, and the last entry of all ranges before comes from a table of one row p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import _RANGE, ranged
@@ -32,10 +32,14 @@ def nearest(entries: DataFrame, probes: DataFrame) -> DataFrame:
     return found.join(F.broadcast(starts), _RANGE).select("probe_id", "tile", F.coalesce("here", "before").alias("entry"))
 
 
+def _reaches(e: Column) -> Column:
+    return (e["run_length"] == 0) | (F.col("tile") - e["tile_id"] < e["run_length"]) | (F.col("tile") == e["tile_id"])
+
+
 def lookup(entries: DataFrame, probes: DataFrame) -> DataFrame:
     """probe_id, tile, and offset and length where the tile is found (null elsewhere); leaf pointers count as found."""
     e = F.col("entry")
-    reaches = (e["run_length"] == 0) | (F.col("tile") - e["tile_id"] < e["run_length"]) | (F.col("tile") == e["tile_id"])
+    reaches = _reaches(e)
     rows = nearest(entries, probes)
     return rows.select("probe_id", "tile", F.when(reaches, e["offset"]).alias("offset"), F.when(reaches, e["length"]).alias("length"), F.coalesce(reaches, F.lit(False)).alias("found"))
 
@@ -60,9 +64,13 @@ def two_level(entries: DataFrame, leaves: DataFrame, probes: DataFrame) -> DataF
     ``leaves``: leaf, first. ``entries`` carry their ``leaf``.
     """
     root = leaves.select(F.col("first").alias("tile_id"), F.lit(0).cast("long").alias("run_length"), F.col("leaf").cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.col("leaf").cast("long").alias("grp"))
-    in_leaf = lookup(root, probes).where("found").select("probe_id", F.col("offset").alias("leaf"))
-    found = lookup(entries, probes)
-    return found.join(in_leaf, "probe_id", "left").select("probe_id", "tile", "leaf", "offset", "length", "found")
+    at = lookup(root, probes).select("probe_id", "tile", F.col("offset").alias("leaf"))
+    # One array for each leaf, as large as a leaf at most.
+    inside = entries.groupBy(F.col("leaf").cast("long").alias("leaf")).agg(F.sort_array(F.collect_list(F.struct("tile_id", "grp", "run_length", "offset", "length"))).alias("inside"))
+    last = F.try_element_at(F.filter("inside", lambda x: x["tile_id"] <= F.col("tile")), F.lit(-1))
+    rows = at.join(inside, "leaf", "left").select("probe_id", "tile", "leaf", last.alias("entry"))
+    reaches = _reaches(F.col("entry"))
+    return rows.select("probe_id", "tile", "leaf", F.when(reaches, F.col("entry.offset")).alias("offset"), F.when(reaches, F.col("entry.length")).alias("length"), F.coalesce(reaches, F.lit(False)).alias("found"))
 
 
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:
