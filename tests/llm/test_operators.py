@@ -88,6 +88,66 @@ def test_near_duplicates(docs, rows, k, monkeypatch):
     assert got(neardup.near_duplicates(docs, k=k), "doc_id", "n_shingles", "component_id", "kept") == want
 
 
+def family(n, seed=9):
+    """Pages on one template: some words of each page come from short lists. Most pairs lie a little under the threshold."""
+    rng = random.Random(seed)
+    frame = [f"t{i}" for i in range(90)]
+    out = []
+    for i in range(n):
+        words = list(frame)
+        for slot in range(4, 90, 13):
+            words[slot] = f"s{slot}x{rng.randrange(60)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def plain_links(rows, k, percent):
+    """The number of links and the components of distinct texts, by a matrix of all pairs."""
+    sets = [{tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} for _, t in rows for w in [t.split()]]
+    number = {}
+    for s in sets:
+        for x in s:
+            number.setdefault(x, len(number))
+    m = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[x] for x in s]] = 1
+    n, up = m.sum(1), list(range(len(sets)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = 0
+    for i in range(len(sets)):
+        common = m[:i] @ m[i]
+        for j in np.flatnonzero(100 * common >= percent * (n[:i] + n[i] - common)).tolist():
+            links += 1
+            a, b = top(i), top(j)
+            up[max(a, b)] = min(a, b)
+    return links, [rows[top(i)][0] for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("n", "times"), [(250, 6), (4000, 1)])
+def test_near_duplicates_of_a_template(spark, n, times, monkeypatch):
+    """Few links among many near misses: all are found, also where rows repeat, and few pairs become rows."""
+    monkeypatch.setattr(neardup, "BLOCK", 200)
+    made = []
+    for name in ("_confirmed", "_in_blocks"):
+        def counted(first, *rest, real=getattr(neardup, name), name=name):
+            out = real(first, *rest)
+            made.append(first.count() if name == "_confirmed" else out.count())
+            return out
+        monkeypatch.setattr(neardup, name, counted)
+    rows = family(n)
+    links, want = plain_links(rows, 2, 80)
+    assert n / 100 < links < n * n / 20 and len(set(want)) > n / 20
+    df = spark.createDataFrame(rows * times, "doc_id long, text string").repartition(4)
+    out = neardup.near_duplicates(df, k=2).select("doc_id", "component_id", "kept").collect()
+    assert sorted(map(tuple, out)) == sorted((i, c, i == c) for (i, _), c in zip(rows, want, strict=True) for _ in range(times))
+    assert len(made) == 2 and sum(made) < 20 * n and (n < 4000 or made[1] > 0)
+
+
 def test_near_duplicates_of_nothing(docs):
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 

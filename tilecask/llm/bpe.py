@@ -238,4 +238,4 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
         c = codec(path)
         return lambda all_ids: [[c.decode(i or b"") for i in all_ids]]
 
-    return appended(docs, [(text, T.StringType())], make, ids)
+    return appended(docs, [(text, T.StringType())], make, ids, spread=False)

@@ -2,68 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import threading
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import evenly, forget, stored
+
+__all__ = ["appended", "evenly", "fold", "forget", "hashed", "mixed", "sample_of", "segment_sums", "slices", "written"]
+
 #: Rows are handed to numpy in slices of about so many bytes of text.
 SLICE_BYTES = 1 << 20
+#: Spark closes an Arrow batch at so many rows, or at 64 MB (``spark.sql.execution.arrow.maxBytesPerBatch``).
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Arrow batches of documents have at most so many rows.
-RECORDS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (tests on one machine) a temporary folder is set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir()
-    if at is None:
-        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tilecask-"))
-        at = sc.getCheckpointDir()
-    return at
+_setting = threading.Lock()
 
 
 def written(df: DataFrame, records: int | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: computed once, lineage cut.
+    """``df`` as a Parquet table in the shared folder, read again: computed once, lineage cut; ``forget`` deletes it.
 
-    The table outlives any executor. It goes when the driver's JVM ends. While it is written, at most ``records`` rows
-    (if given) go to Python in one Arrow batch.
+    While it is written, at most ``records`` rows (if given) go to Python in one Arrow batch; the session's own setting
+    holds again afterwards, and for all that is read lazily.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    schema = df.schema
-    before = spark.conf.get(BATCH)
-    try:
-        if records:
+    if not records:
+        return stored(df)
+    with _setting:
+        before = spark.conf.get(BATCH)
+        try:
             spark.conf.set(BATCH, str(min(records, int(before)) if int(before) > 0 else records))
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows in an Arrow batch to ``RECORDS``, which bounds the memory of executors and workers.
-
-    A plan reads the setting when it starts, not when it is made, so it cannot be held for one plan only.
-    """
-    now = int(spark.conf.get(BATCH))
-    if not 0 < now <= RECORDS:
-        spark.conf.set(BATCH, str(RECORDS))
+            return stored(df)
+        finally:
+            spark.conf.set(BATCH, before)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -81,13 +57,12 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
-def appended(docs: DataFrame, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
-    """``docs`` with ``fields`` after its own columns; a column of the same name is replaced.
+def appended(docs: DataFrame, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[[list], list]], text: str = "text", spread: bool = True) -> DataFrame:
+    """``docs`` (dealt out evenly where they are few, with ``spread``) with ``fields`` after its own columns; a column of the same name is replaced.
 
     ``make()`` runs once in each task and returns a function from the texts of a slice (``None`` for null) to one list
     or array per field. Other columns pass through untouched, whatever they are called.
     """
-    small_batches(docs.sparkSession)
     names = {n.lower() for n, _ in fields}
     kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in names])
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in fields)])
@@ -101,7 +76,7 @@ def appended(docs: DataFrame, fields: list[tuple[str, T.DataType]], make: Callab
             new = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(got, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(n for n, _ in fields)])
 
-    return kept.mapInArrow(run, schema)
+    return (evenly(kept) if spread else kept).mapInArrow(run, schema)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -110,15 +85,21 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+#: Longer words (texts without spaces, encoded data) are not remembered: a memory of words has a bound in bytes.
+LONG = 64
+
+
 class WordHash(dict):
     """``bytes`` to a 64-bit hash, remembered; emptied at ``limit`` words so that its memory is bounded."""
 
     limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = h
         return h
 
 

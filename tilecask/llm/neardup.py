@@ -8,17 +8,28 @@ shingles (fewer words, but not none: the whole sequence as one). Documents are l
    bits of a 512-bit map, so that the number of ones in the XOR of two sketches estimates how many samples differ.
    Documents with equal sets (a 128-bit digest) are one class from here on, named by its smallest id; its copies are
    never paired. At similarity 0.8 a pair shares no band with probability 3e-6.
-2. Candidates. Classes that share a band meet: in buckets of at most ``SMALL`` classes all pairs, in larger ones each
-   class with a leader. Pairs whose set sizes or sketches rule the threshold out (beyond five standard deviations) go.
-3. Confirmation on the full sets, from the texts, word by word.
-4. Larger buckets in which several components are left get further leaders. What is then still apart goes through an
-   exact prefix join: a class orders its shingles by rarity; two classes at the threshold share one of the first few,
-   at places that leave room for the rest of the overlap. Only classes of different components meet. Near copies that
-   differ by edits of their own start with shingles that hardly any other class has, so that a large group of them
-   makes few pairs. No bucket or group is cut.
-
-Rows with one doc_id are one document: linked where any of their texts is. Documents without words are linked with
-nothing; rows with a null id take no part, have a null component and are kept.
+2. Candidates. Classes that share a band meet: in buckets of at most ``SMALL`` classes all pairs; of its larger buckets
+   each class meets the leaders of two, so that groups of near copies collapse at two pairs a class. Pairs whose set sizes or sketches rule the threshold out (beyond five standard deviations,
+   probability 3e-7) go.
+3. Confirmation on the full sets, as sorted arrays of 64-bit shingle hashes. Texts are read once more for the classes
+   that are in a pair; they never travel with pairs.
+4. Larger buckets in which several components are left are compared exactly in blocks: the rows of a bucket are dealt
+   into blocks of some ``BLOCK`` rows, a component that fills a block has blocks of its own, and two blocks meet in one
+   task unless both belong to one such component. Inside, numpy rules
+   pairs out by component, size, an earlier shared band (they were compared there) and sketch; for the others, the
+   shingles that two rows of the blocks share become bitmaps, whose AND gives the intersections. Only confirmed links
+   come out, one at most for two components, so that a block yields fewer links than it has rows.
+
+No bucket or group is cut, and no pair of a large bucket becomes a row. The work of step 4 grows with the square of the
+number of classes in a bucket that no leader joins (pages on one template with similarities just under the threshold),
+spread over that many pairs of blocks; groups of near copies collapse in step 2 and cost their number of rows.
+
+Groups of any size (copies, buckets, a leader's pairs, a hub of links) are joined in up to ``SALTS`` tasks.
+
+Rows with one doc_id are one document: linked where any of their texts is. Repeated rows are one class and change
+nothing. Documents without words (null, empty or blank texts) are linked with nothing; rows with a null id take no part,
+have a null component and are kept. Very long texts are one row like others. An empty table gives an empty one; columns
+beyond id and text are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,16 +37,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, hashed, mixed, slices, small_batches, written
+from .common import WordHash, evenly, forget, hashed, mixed, slices, written
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8
 SMALL = 12
-LEADER_ROUNDS = 2
+#: Rows and shingles of a block, on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+SALTS = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,22 +67,8 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def exact_shingles(texts: tuple[str, str], k: int) -> list[np.ndarray]:
-    """The distinct shingles of two texts as numbers that are equal for equal word sequences only."""
-    words = [words_of(t) for t in texts]
-    number: dict[bytes, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in words]
-    take = [min(k, len(i)) for i in ids]
-    n = [max(0, len(i) - t + 1) if len(i) else 0 for i, t in zip(ids, take, strict=True)]
-    if take[0] != take[1]:  # sequences of different lengths have nothing in common
-        return [np.zeros(1, np.int64), np.ones(1, np.int64)]
-    code = [i[:m] for i, m in zip(ids, n, strict=True)]
-    width = max(len(number), 1)
-    for j in range(1, take[0]):
-        both = np.concatenate([c * width + i[j : j + m] for c, i, m in zip(code, ids, n, strict=True)])
-        both = np.unique(both, return_inverse=True)[1]
-        code = [both[: n[0]], both[n[0] :]]
-    return [np.unique(c) for c in code]
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b""
 
 
 class Signer:
@@ -94,7 +93,7 @@ class Signer:
     def __call__(self, texts: list[str | None]) -> dict[str, list]:
         flat, starts = hashed([words_of(t) for t in texts], self.known)
         sets = [shingle_hashes(flat[a:b], self.k) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
+        digest = [_digest(s) for s in sets]
         minima = np.stack([self.minima(s) for s in sets])
         bands = np.zeros((len(sets), BANDS), np.uint64) + self.band_salt
         parts = minima.reshape(len(sets), BANDS, ROWS)
@@ -135,29 +134,68 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
-def _may_link(percent: int, a: str = "x", b: str = "y") -> F.Column:
-    """Whether set sizes and sketches of two rows allow a link."""
-    ones = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    few, many = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (few * 100 >= many * percent) & (ones <= most_ones(percent))
+def _may_link(percent: int, x: str, y: str) -> Column:
+    """Whether set sizes and sketches allow a link of two rows, whose columns begin with ``x`` and ``y``."""
+    differ = [F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in SKETCH]
+    few, many = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
+    return (few * 100 >= many * percent) & (sum(differ[1:], differ[0]) <= most_ones(percent))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose full sets are similar enough. ``texts``: rep, text."""
+def _salt(by: str) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+
+
+def _mask(by: str) -> Column:
+    """An aggregate: the salts that a group's rows have, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _salt(by))).alias("__mask")
+
+
+def _dealt(rows: DataFrame, facts: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (key, __mask, more) on ``key``; the rows of one key go to up to ``SALTS`` tasks.
+
+    A fact is copied once for each salt that its group has, so at most once for each row.
+    """
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("__mask", i) == 1)
+    copies = facts.withColumn("__salt", F.explode(salts)).drop("__mask")
+    return rows.withColumn("__salt", _salt(by)).join(copies, [*key, "__salt"], how).drop("__salt")
+
+
+def _named(rows: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
+    return rows.select(F.col("rep").alias(prefix), *(F.col(c).alias(f"{prefix}_{c}") for c in columns))
+
+
+def _with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` (a, b) with ``columns`` of ``of`` (rep, ...) for both ends; a is the end that many pairs may share."""
+    hubs = pairs.groupBy("a").agg(_mask("b")).join(_named(of, "a", columns), "a")
+    return _dealt(pairs.join(_named(of, "b", columns), "b"), hubs, ["a"], "b")
+
+
+def _shingles(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """rep, key, h (sorted shingle hashes) of the classes whose texts the ids in ``nodes`` (rep) have; each once."""
 
     def run(batches):
-        for batch in batches:
-            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            hit = []
-            for a, b in zip(batch.column("text_u"), batch.column("text_v"), strict=True):
-                x, y = exact_shingles((a.as_py(), b.as_py()), k)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, h in zip(u, hit, strict=True) if h], pa.int64()), pa.array([p for p, h in zip(v, hit, strict=True) if h], pa.int64())], ["u", "v"])
+        known = WordHash()
+        for part in slices(batches):
+            flat, starts = hashed([words_of(t) for t in part.column("text").to_pylist()], known)
+            sets = [shingle_hashes(flat[a:b], k) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            edges = np.zeros(len(sets) + 1, np.int32)
+            np.cumsum([len(x) for x in sets], out=edges[1:])
+            values = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([_digest(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(edges), values)], ["rep", "key", "h"])
+
+    texts = evenly(rows).select(F.col("doc_id").alias("rep"), "text").join(nodes, "rep", "left_semi")
+    return texts.mapInArrow(run, "rep long, key binary, h array<long>").groupBy("rep", "key").agg(F.any_value("h").alias("h"))
 
-    with_v = pairs.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("text_v")), "v")
-    both = with_v.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("text_u")), "u")
-    return written(both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long").distinct(), records=500)
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """u, v: those of ``pairs`` (a, b) whose full sets are similar enough."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = written(_shingles(rows, nodes, k).drop("key"), records=2000)
+    common = F.size(F.array_intersect("a_h", "b_h"))
+    hit = _with_both(pairs, sets, ["h"]).where(common * (100 + percent) >= (F.size("a_h") + F.size("b_h")) * percent)
+    out = written(hit.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    forget(sets)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -168,97 +206,164 @@ def components(links: DataFrame) -> DataFrame:
     pairs = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        stars = large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*")
-        pairs = written(stars.where("u <> v").distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m"), _mask("v")).withColumn("m", F.least("u", "m"))
+        large = _dealt(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("m"), _mask("v"))
+        hung = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        before, pairs = pairs, written(_dealt(large, small, ["u"], "v").select(F.explode(hung).alias("p")).select("p.*").where("u <> v").distinct())
+        forget(before)
         # Done when no node hangs on two nodes, or on one that hangs itself.
-        roots = pairs.select(F.col("v").alias("u")).distinct()
-        if pairs.join(roots, "u", "left_semi").isEmpty() and pairs.groupBy("u").count().where("count > 1").isEmpty():
+        ends = pairs.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty():
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``. Ids are integers."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(_signatures(rows, k))
+    signed = written(_signatures(evenly(rows), k))
     # A class: all documents with one set. Its representative is its smallest id.
     part = signed.where("doc_id is not null and n > 0")
-    classes = part.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = written(part.join(classes, "key").where("doc_id = rep").dropDuplicates(["doc_id", "key"]).select("rep", "n", "bands", *SKETCH))
-    sketches = reps.select("rep", "n", *SKETCH)
-    texts = rows.select(F.col("doc_id").alias("rep"), "text")
-    bands = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep", "band")).alias("leader")).where("size > 1")
-    members = written(bands.join(buckets, "band").select("band", "rep", "size", "leader"))
+    classes = written(part.groupBy("key").agg(F.min("doc_id").alias("rep"), _mask("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "bands", *SKETCH))))
+    sketches = classes.select("rep", "n", *SKETCH)
+    bands = classes.select("rep", F.explode("bands").alias("band"))
+    leaders = [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"leader{i}") for i in (0, 1)]
+    buckets = bands.groupBy("band").agg(F.count("*").alias("size"), *leaders, _mask("rep")).where("size > 1")
+    members = written(_dealt(bands, buckets, ["band"], "rep"))
     small = members.where(F.col("size") <= SMALL).select("band", "rep")
-    x, y = small.alias("x"), small.alias("y")
-    close = x.join(y, F.expr("x.band = y.band and x.rep < y.rep")).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
-    led = members.where((F.col("size") > SMALL) & (F.col("rep") != F.col("leader"))).select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v"))
-    pairs = written(_filtered(close.unionByName(led).distinct(), sketches, percent))
-    links = _confirmed(pairs, texts, k, percent)
+    close = small.alias("x").join(small.alias("y"), F.expr("x.band = y.band and x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    # Of its large buckets a class meets a leader of the largest one, and another leader of any.
+    chosen = members.where(F.col("size") > SMALL).groupBy("rep").agg(F.max(F.struct("size", F.col("leader0").alias("a"))).alias("l0"), F.max(F.struct(F.xxhash64("band", "rep").alias("h"), F.col("leader1").alias("a"))).alias("l1"))
+    led = chosen.select(F.explode(F.array("l0.a", "l1.a")).alias("a"), F.col("rep").alias("b")).where("a <> b")
+    met = written(close.unionByName(led).distinct())
+    pairs = written(_with_both(met, sketches, ["n", *SKETCH]).where(_may_link(percent, "a_", "b_")).select("a", "b").distinct())
+    links = _confirmed(pairs, rows, k, percent)
     # Rows with one id and different texts are one document.
     several = part.groupBy("doc_id").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("doc_id")
-    links = links.unionByName(part.join(several, "doc_id").join(classes, "key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    roots = components(links)
-    large = written(members.where(F.col("size") > SMALL).select("band", "rep").join(sketches, "rep"))
-    for step in range(LEADER_ROUNDS + 1):
-        now = _open_buckets(large, roots, step)
-        if now.isEmpty():
-            break
-        if step < LEADER_ROUNDS:
-            met = F.expr("x.band = y.band and x.root <> y.root") & _may_link(percent)
-            pairs = now.where("rep = leader").alias("x").join(now.alias("y"), met).select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v")).distinct()
-        else:
-            pairs = _filtered(_prefix_pairs(now, texts, k, percent), sketches, percent)
-        more = _confirmed(written(pairs), texts, k, percent)
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    of_key = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("of_class"))
-    out = signed.select("doc_id", "n", "key").join(of_key, "key", "left")
+    same = part.join(several, "doc_id").join(classes, "key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    roots = components(links.unionByName(same))
+    large = written(members.where(F.col("size") > SMALL).select("band", "rep"))
+    forget(members, met, pairs, links)
+    more = None if large.isEmpty() else _in_blocks(large, roots, classes, rows, k, percent)
+    if more is not None and not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    of_class = classes.select("key", "rep", "__mask").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "__mask", F.coalesce("root", "rep").alias("of_class"))
+    out = _dealt(signed.select("doc_id", "n", "key"), of_class, ["key"], "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _open_buckets(large: DataFrame, roots: DataFrame, step: int) -> DataFrame:
-    """The rows of ``large`` (band, rep, ...) in buckets of several components, with root and the bucket's leader."""
-    now = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    several = now.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("rep", F.xxhash64("rep", "band", F.lit(step))).alias("leader")).where("r0 < r1")
-    return written(now.join(several.select("band", "leader"), "band"))
-
-
-def _prefix_pairs(now: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """u, v: all pairs of classes in ``now`` of different components that can reach the threshold, by a prefix join."""
+def _in_blocks(large: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """u, v: links that join the components left in each bucket; None if every bucket has one."""
+    rooted = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    now = written(rooted.join(classes.select("rep", "n"), "rep"))
+    of_root = now.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"), _mask("rep"))
+    of_root = of_root.withColumn("big", (F.col("c") >= BLOCK) | (F.col("s") >= BLOCK_SHINGLES)).withColumnRenamed("__mask", "rows")
+    parts = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    rest = [F.coalesce(F.sum(F.when(~F.col("big"), F.col(c))), F.lit(0)).alias(f"rest_{c}") for c in ("c", "s")]
+    of_band = of_root.groupBy("band").agg(F.count("*").alias("roots"), *rest, _mask("root")).where("roots > 1")
+    if of_band.isEmpty():
+        forget(now)
+        return None
+    facts = _dealt(of_root, of_band, ["band"], "root")
+    n_parts = F.when(F.col("big"), parts(F.col("c"), F.col("s"))).otherwise(parts(F.col("rest_c"), F.col("rest_s")))
+    facts = facts.select("band", "root", "big", n_parts.alias("parts"), F.col("rows").alias("__mask"))
+    place = F.pmod(F.xxhash64(F.when(F.col("big"), F.col("rep")).otherwise(F.col("root")), F.lit(7)), F.col("parts")).cast("int")
+    placed = _dealt(now, facts, ["band", "root"], "rep").select("band", "rep", "root", "big", F.when(F.col("big"), F.col("root")).otherwise(0).alias("of"), place.alias("part"))
+    placed = written(placed)
+    block = ["band", "big", "of", "part"]
+    whole, own = Window.partitionBy("band"), Window.partitionBy("band", "big", "of")  # over blocks, not rows
+    number = F.row_number().over(whole.orderBy("big", "of", "part")) - 1
+    blocks = placed.select(*block).distinct().select(*block, number.alias("no"), F.count("*").over(whole).alias("n_blocks"))
+    blocks = blocks.select("*", F.min("no").over(own).alias("low"), F.max("no").over(own).alias("high"))
+    sets = written(_shingles(rows, placed.select("rep").distinct(), k), records=2000)
+    columns = ["rep", "root", "n", *SKETCH, "bands", "h"]
+    full = placed.join(sets.join(classes.select("rep", "key", "n", "bands", *SKETCH), ["rep", "key"]), "rep")
+    packed = written(full.groupBy(*block).agg(F.collect_list(F.struct(*columns)).alias("rows")).join(blocks, block))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda x: ~F.col("big") | (x < F.col("low")) | (x > F.col("high")))
+    sent = packed.select("band", "rows", "no", F.explode(others).alias("x")).select("band", F.least("no", "x").alias("i"), F.greatest("no", "x").alias("j"), "no", "x", "rows")
+    left = sent.where("no <= x").select("band", "i", "j", F.col("rows").alias("a"))
+    right = sent.where("no >= x").select("band", "i", "j", F.col("rows").alias("b"))
+    met = left.join(right, ["band", "i", "j"])
 
     def run(batches):
-        known = WordHash()
-        for part in slices(batches):
-            flat, starts = hashed([words_of(t) for t in part.column("text").to_pylist()], known)
-            sets = [shingle_hashes(flat[a:b], k) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            n = np.array([len(x) for x in sets], np.int64)
-            which = np.repeat(np.arange(len(n)), n)
-            take = pa.array(which)
-            yield pa.RecordBatch.from_arrays([part.column("rep").take(take), part.column("root").take(take), pa.array(n[which]), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["rep", "root", "n", "h"])
-
-    nodes = written(now.select("rep", "root").distinct())
-    shingles = written(nodes.join(texts, "rep").select("rep", "root", "text").mapInArrow(run, "rep long, root long, n long, h long"), records=2000)
-    rarity = shingles.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    ordered = shingles.join(rarity, "h").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "h")))
-    prefix = written(ordered.where((F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1) & (F.col("r0") < F.col("r1"))).select("rep", "root", "n", "h", "place"))
-    n = F.col("x.n") + F.col("y.n")
-    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    met = F.expr("x.h = y.h and x.root < y.root") & sizes & (left * (100 + percent) >= n * percent)
-    return prefix.alias("x").join(prefix.alias("y"), met).select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v")).distinct()
-
-
-def _filtered(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    x = sketches.alias("x")
-    y = sketches.alias("y")
-    met = pairs.alias("p").join(x, F.expr("p.u = x.rep")).join(y, F.expr("p.v = y.rep"))
-    return met.where(_may_link(percent)).select("p.u", "p.v").distinct()
-
-
+        for batch in batches:
+            found = [p for r in range(batch.num_rows) for p in links_of_blocks(*(Block(batch.column(c)[r].values) for c in "ab"), batch.column("band")[r].as_py(), batch.column("i")[r] == batch.column("j")[r], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["u", "v"])
+
+    more = written(met.mapInArrow(run, "u long, v long").distinct(), records=8)
+    forget(now, placed, sets, packed)
+    return more
+
+
+class Block:
+    """The rows of a block as arrays."""
+
+    def __init__(self, rows: pa.StructArray):
+        of = dict(zip((f.name for f in rows.type), rows.flatten(), strict=True))
+        self.rep, self.root, self.n = (of[c].to_numpy(zero_copy_only=False) for c in ("rep", "root", "n"))
+        self.sketch = np.stack([of[c].to_numpy(zero_copy_only=False) for c in SKETCH], 1).view(np.uint64)
+        self.bands = of["bands"].flatten().to_numpy(zero_copy_only=False).reshape(len(self.rep), -1)
+        self.h, self.size = of["h"].flatten().to_numpy(zero_copy_only=False), of["h"].value_lengths().to_numpy(zero_copy_only=False)
+
+    def shingles(self, some: np.ndarray) -> np.ndarray:
+        """The shingle hashes of the rows ``some`` (sorted), one after the other."""
+        return self.h[np.repeat(np.isin(np.arange(len(self.rep)), some), self.size)]
+
+
+def overlaps(a: Block, b: Block, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of rows ``p`` of ``a`` with rows ``q`` of ``b``, by bitmaps of shared shingles."""
+    (some_a, p), (some_b, q) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+    owner = np.repeat(np.arange(len(some_a) + len(some_b)), np.r_[a.size[some_a], b.size[some_b]])
+    _, column, count = np.unique(np.r_[a.shingles(some_a), b.shingles(some_b)], return_inverse=True, return_counts=True)
+    shared = count > 1
+    column, keep = (np.cumsum(shared) - 1)[column], shared[column]
+    column, owner = column[keep], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out, width = np.zeros(len(p), np.int64), 1 << 14
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        some = slice(*np.searchsorted(column, (low, low + width)))
+        flags = np.zeros((len(some_a) + len(some_b), width), bool)
+        flags[owner[some], column[some] - low] = True
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        for at in range(0, len(p), 1 << 13):
+            to = slice(at, at + (1 << 13))
+            out[to] += np.bitwise_count(bits[p[to]] & bits[len(some_a) + q[to]]).sum(1, dtype=np.int64)
+    return out
+
+
+def links_of_blocks(a: Block, b: Block, band: int, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links of rows of ``a`` with rows of ``b`` that lie in different components: enough of them to join whatever any
+    such link joins. Pairs that share an earlier band are left to it."""
+    ok = a.root[:, None] != b.root[None, :]
+    if same:
+        ok &= np.triu(np.ones(ok.shape, bool), 1)
+    ok &= np.minimum(a.n[:, None], b.n[None, :]) * 100 >= np.maximum(a.n[:, None], b.n[None, :]) * percent
+    for t in range(int((a.bands == band).any(0).argmax())):
+        ok &= a.bands[:, t, None] != b.bands[None, :, t]
+    ones = np.zeros(ok.shape, np.uint16)
+    for w in range(SKETCH_WORDS):
+        ones += np.bitwise_count(a.sketch[:, w, None] ^ b.sketch[None, :, w])
+    ok &= ones <= most_ones(percent)
+    p, q = np.nonzero(ok)
+    if not len(p):
+        return []
+    hit = overlaps(a, b, p, q) * (100 + percent) >= (a.n[p] + b.n[q]) * percent
+    p, q = p[hit], q[hit]
+    ends = np.stack([np.minimum(a.root[p], b.root[q]), np.maximum(a.root[p], b.root[q])], 1)
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for (x, y), at in zip(*(v.tolist() for v in np.unique(ends, axis=0, return_index=True)), strict=True) if len(p) else ():
+        x, y = top(x), top(y)
+        if x != y:
+            up[y] = x
+            out.append((int(a.rep[p[at]]), int(b.rep[q[at]])))
+    return out

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, hashed, mixed, slices, small_batches, written
+from .common import WordHash, evenly, hashed, mixed, slices, written
 
 SIZE, GRAM = 50, 8
 LAST = (1 << 63) - 1
@@ -197,12 +197,11 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id:
 
     ``gram`` is at most ``size``; ids are integers.
     """
-    small_batches(docs.sparkSession)
     new = ["n_words", "n_removed", "kept_text"]
     own = [c for c in docs.columns if c.lower() not in new]
     rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own) if c != text))
     keyed = docs.select(rest.alias("rest"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"))
-    seeds = written(_seeds(keyed.where(F.col("text").isNotNull()).select("doc", "th", "text"), size, gram))
+    seeds = written(_seeds(evenly(keyed.where(F.col("text").isNotNull()).select("doc", "th", "text")), size, gram))
     # The least document of each stretch, and how many stretches an anchor has; what stands in one document only goes.
     stretches = seeds.groupBy("a", "h").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     of_anchor = stretches.groupBy("a").agg(F.count("*").alias("kinds"), F.min("least").alias("a0"), F.max("most").alias("a1")).where("a0 < a1")
