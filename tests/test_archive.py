@@ -1,15 +1,19 @@
 import http.server
 import json
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from tilecask import errors as E
+from tilecask.conditions import CASES, raised
 from tilecask.functions import codec
+from tilecask.sources import datasource
 from tilecask.sources.archive import Archive, DictCache, LruCache, merged_tilejson
-from tilecask.sources.datasource import read_archive, read_archive_bytes, tilejson
-from tilecask.sources.ranges import BufferRanges, FileRanges, HttpRanges
+from tilecask.sources.datasource import PushdownReader, read_archive, read_archive_bytes, register, tilejson, tiles_at
+from tilecask.sources.ranges import BufferRanges, FileRanges, HttpRanges, ObjectRanges, open_ranges
 from tilecask.sources.writer import new_header, write_archive
 
 SCHEMA = "seq long, tile_id long, data binary, is_raw boolean"
@@ -45,6 +49,144 @@ def test_leaves_caches_and_pushdown(spark, tmp_path):
     assert read_archive_bytes(spark, path).count() == 20000
 
 
+class Counted(FileRanges):
+    reads: list = []  # noqa: RUF012
+
+    def read(self, offset, length):
+        self.reads.append((offset, length))
+        return super().read(offset, length)
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """An archive with leaves."""
+    path = str(tmp_path_factory.mktemp("large") / "a")
+    rows = spark.range(20000).select(F.col("id").alias("seq"), F.col("id").alias("tile_id"), F.col("id").cast("string").cast("binary").alias("data"))
+    write_archive(rows, path, new_header("Png"))
+    return path
+
+
+def test_one_id_reads_its_leaf_only(spark, large, monkeypatch):
+    monkeypatch.setattr(datasource, "open_ranges", lambda path, kind=None: Counted(path))
+    monkeypatch.setattr(datasource, "_open", datasource.OrderedDict())
+    Counted.reads.clear()
+    for read in range(2):
+        reader = PushdownReader({"path": large}, "tiles")
+        assert len(list(reader.pushFilters([datasource.EqualTo(("tile_id",), 9000)]))) == 1
+        parts = reader.partitions()
+        assert len(parts) == 1 and len(Counted.reads) == 1  # planning: the first 16 KiB
+        got = [b.to_pylist() for p in parts for b in reader.read(p)]
+        assert [r["tile_id"] for b in got for r in b] == [9000]
+        assert len(Counted.reads) == (3 if read == 0 else 2)  # one leaf, which the worker keeps, and one content
+        Counted.reads.clear()
+    archive = Archive(Counted(large))
+    Counted.reads.clear()
+    assert archive.tile(9000) == b"9000" and len(Counted.reads) == 2
+
+
+def test_long_runs_are_read_in_pieces(tmp_path):
+    root = codec.encode_directory([0, 3 << 30], [0, 0], [2, 2], [1 << 31, 1])
+    h = codec.Header(internal_compression="None", root_length=len(root), data_offset=codec.INITIAL_READ, data_length=2)
+    (tmp_path / "a").write_bytes((h.encode() + root).ljust(codec.INITIAL_READ, b"\0") + b"ok")
+    reader = datasource.Reader({"path": str(tmp_path / "a"), "low": str(1 << 30), "high": str((1 << 30) + 2999)}, "tiles")
+    ids = [t for p in reader.partitions() for b in reader.read(p) for t in b.column("tile_id").to_pylist()]
+    assert ids == list(range(1 << 30, (1 << 30) + 3000))
+    whole = datasource.Reader({"path": str(tmp_path / "a")}, "tiles")
+    assert next(whole.read(whole.partitions()[0])).num_rows == datasource.ROWS
+
+
+def test_tiles_at(spark, large):
+    probes = spark.createDataFrame([(i, t) for i, t in enumerate([0, 4095, 4096, 4096, 19999, 20000, -1, None])], "probe long, tile long")
+    got = {r["probe"]: r["data"] and bytes(r["data"]) for r in tiles_at(probes, large).collect()}
+    assert got == {0: b"0", 1: b"4095", 2: b"4096", 3: b"4096", 4: b"19999", 5: None, 6: None, 7: None}
+
+
+def test_nested_leaves_and_order(tmp_path):
+    """Leaves of leaves, level by level; a scan of one leaf of the root has what is under it."""
+    inner = [codec.encode_directory([t], [0], [1], [1]) for t in (0, 5)]
+    middle = codec.encode_directory([0, 3, 5], [0, 0, len(inner[0])], [len(inner[0]), 1, len(inner[1])], [0, 2, 0])
+    body = inner[0] + inner[1] + middle
+    root = codec.encode_directory([0, 9], [len(inner[0]) + len(inner[1]), 0], [len(middle), 1], [0, 1])
+    h = codec.Header(internal_compression="None", root_length=len(root), leaf_offset=codec.INITIAL_READ, leaf_length=len(body), data_offset=codec.INITIAL_READ + len(body), data_length=1)
+    (tmp_path / "a").write_bytes((h.encode() + root).ljust(codec.INITIAL_READ, b"\0") + body + b"x")
+    a = Archive(str(tmp_path / "a"))
+    assert [(e["tile_id"], e["level"], e["ordinal"]) for e in a.entries()] == [(9, 0, 1), (3, 1, 1), (0, 2, 0), (5, 2, 0)]
+    assert [a.tile(t) for t in (0, 1, 3, 4, 5, 6, 9)] == [b"x", None, b"x", b"x", b"x", None, b"x"] and repr(a.root) == "Directory [entries: 2]"
+    reader = datasource.Reader({"path": str(tmp_path / "a")}, "entries")
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted((r["tile_id"], r["level"], r["ordinal"]) for r in rows) == [(0, 2, 0), (3, 1, 1), (5, 2, 0), (9, 0, 1)]
+
+
+def test_codecs_name_their_compression(spark, tmp_path):
+    path = str(tmp_path / "a")
+    for codecs, tile, internal in (({"tile_codec": "Zstd"}, "Zstd", "Gzip"), ({"internal_codec": "Zstd"}, "None", "Zstd"), ({"tile_codec": "Gzip=gzip:compress"}, "Gzip", "Gzip")):
+        given = new_header("Png")
+        h = write_archive(tiles(spark, [(0, b"abc"), (1, b"d")]), path, given, **codecs)
+        a = Archive(path)
+        assert (h.tile_compression, h.internal_compression) == (a.header.tile_compression, a.header.internal_compression) == (tile, internal)
+        assert a.tile_decompressed(0) == b"abc" and given == new_header("Png")
+    with pytest.raises(E.UnsupportedCompression, match="which compression"):
+        write_archive(tiles(spark, []), path, tile_codec="gzip:compress")
+
+
+def test_sink(spark, tmp_path):
+    register(spark)
+    path = str(tmp_path / "a")
+    rows = tiles(spark, [(5, b"ABC"), (6, b"ABC"), (2, b"X"), (3, b""), (9, b"ABC", True)]).repartition(3)
+    rows.write.format("tilearchive").mode("overwrite").options(tile_type="Mvt", min_zoom=1, center_longitude=1.5, metadata='{"name": "n"}').save(path)
+    a = Archive(path)
+    assert [a.tile_decompressed(t) for t in (2, 3, 5, 6, 7, 9)] == [b"X", None, b"ABC", b"ABC", None, b"ABC"]
+    h = a.header
+    assert (h.n_addressed_tiles, h.n_tile_entries, h.n_tile_contents, h.clustered, h.min_zoom, h.center_longitude, a.metadata()) == (4, 3, 2, False, 1, 1.5, '{"name": "n"}')
+    same = str(tmp_path / "b")
+    assert write_archive(rows, same, new_header("Mvt", min_zoom=1, center_longitude=1.5), '{"name": "n"}') == h
+    many = spark.range(20000).select(F.col("id").alias("tile_id"), F.col("id").cast("string").alias("data"))
+    many.write.format("tilearchive").mode("overwrite").save(path)
+    b = Archive(path)
+    assert b.header.leaf_length > 0 and b.tile(12345) == b"12345" and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+    with pytest.raises(Exception, match="overwrite"):
+        many.write.format("tilearchive").mode("append").save(path)
+    spark.createDataFrame([], "tile_id long, data binary").write.format("tilearchive").mode("overwrite").save(path)
+    assert list(Archive(path).entries()) == []
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_conditions(case):
+    assert raised(case) == CASES[case][1].__name__
+
+
+def test_caches():
+    fetched, cache = [], LruCache(2)
+
+    def fetch(at):
+        fetched.append(at)
+        if at == 9:
+            raise E.ReadingError("no")
+        return codec.Directory(tile_id=[at])
+
+    for at in (1, 2, 1, 3, 1, 2):
+        assert cache.get(at, lambda at=at: fetch(at))["tile_id"] == [at]
+    assert fetched == [1, 2, 3, 2] and len(cache.flights) == 2
+    for _ in range(2):
+        with pytest.raises(E.DirectoryCacheError, match="ReadingError"):
+            cache.get(9, lambda: fetch(9))
+    assert fetched[-2:] == [9, 9]
+    with ThreadPoolExecutor(8) as pool:  # at one time, one fetch
+        assert all(x["tile_id"] == [7] for x in pool.map(lambda _: cache.get(7, lambda: fetch(7)), range(50)))
+    assert fetched.count(7) == 1
+
+
+def test_object_store(tmp_path):
+    (tmp_path / "f").write_bytes(b"0123456789")
+    uri = (tmp_path / "f").as_uri()
+    r = open_ranges(uri, "object")
+    assert isinstance(r, ObjectRanges) and r.read(2, 3)[0] == b"234" and r.read(8, 5)[0] == b"89" and r.read(0, 0)[0] == b"" and r.read(0, 1)[1] == r.read(1, 1)[1] is not None
+    own = ObjectRanges("f", fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()))
+    assert own.read_exact(0, 10)[0] == b"0123456789"
+    with pytest.raises(E.UnexpectedNumberOfBytesReturned):
+        own.read_exact(8, 9)
+
+
 def test_pushdown_keeps_repeated_ids_and_long_runs(spark, tmp_path):
     n = F.col("seq")
     seq = spark.range(20000).withColumnRenamed("id", "seq")

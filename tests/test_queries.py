@@ -1,4 +1,6 @@
+import os
 import random
+from typing import ClassVar
 
 import duckdb
 import pytest
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tilecask.functions import tiles
 from tilecask.operators import directory, entries, lookup
+from tilecask.plans import ordered, scratch
+from tilecask.plans.dealt import dealt, mask
 from tilecask.queries import ORACLE_SQL, QUERIES
 from tilecask.streaming.upsert import TileTable
 
@@ -88,13 +92,96 @@ def test_stream_upsert(spark, tmp_path):
 
 def test_coverage_of_a_whole_table(spark, tmp_path):
     spark.createDataFrame([(k, "O") for k in (0, 1, 20000)], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
-    got = sorted(r["tile"] for r in QUERIES["coverage_missing_whole"](spark, str(tmp_path)).collect())
+    got = sorted(r["tile"] for r in QUERIES["coverage_missing"](spark, str(tmp_path)).collect())
     assert got == sorted(set(range(60001)) - {0, 3, 60000})
 
 
 def test_empty_filter_of_a_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text <> ''")
-    assert rows_of(QUERIES["empty_filter_whole"](spark, DATA).select("doc_id")) == rows_of(docs.select("doc_id"))
+    assert rows_of(QUERIES["empty_filter"](spark, DATA).select("doc_id")) == rows_of(docs.select("doc_id"))
+
+
+def entry_table(spark, rows):
+    """Entries (tile_id, run_length) in directory order."""
+    return spark.createDataFrame([(t, n, 10 * i, 1, i) for i, (t, n) in enumerate(rows)], "tile_id long, run_length long, offset long, length long, grp long")
+
+
+def test_only_the_nearest_entry_counts(spark):
+    rows = entry_table(spark, [(0, 5), (2, 1), (9, 2), (9, 1)])
+    wanted = spark.createDataFrame([(t,) for t in (0, 2, 3, 4, 5, 9, 10, 10, 11)], "tile long")
+    assert sorted(r["tile"] for r in lookup.missing(rows, wanted).collect()) == [3, 4, 5, 10, 10, 11]
+    assert sorted(r["tile"] for r in lookup.gaps(rows).collect()) == [5, 6, 7, 8]
+    assert lookup.missing(rows.where("false"), wanted).count() == 9 and lookup.gaps(rows.where("false")).count() == 0
+
+
+def test_long_runs_are_expanded_in_pieces(spark):
+    rows = entry_table(spark, [(0, 200_000), (300_000, 1 << 40), (7, 0)])
+    got = entries.expanded(rows.where("tile_id = 0")).agg(F.count("*"), F.min("tile"), F.max("tile"), F.countDistinct("tile")).first()
+    assert tuple(got) == (200_000, 0, 199_999, 200_000)
+    some = entries.expanded(rows, 199_990, 300_009).select("tile").collect()
+    assert sorted(r["tile"] for r in some) == [*range(199_990, 200_000), *range(300_000, 300_010)]
+
+
+def uneven(spark):
+    """Ids of low zooms, one of zoom 22, and one that a third of the rows have."""
+    far = tiles.pyramid_size(22) + 5
+    rows = [(i * 7 % 4000, i) for i in range(4000)] + [(far, 4000)] + [(50, 5000 + i) for i in range(2000)]
+    random.Random(1).shuffle(rows)
+    return rows, spark.createDataFrame(rows, "tile_id long, grp long")
+
+
+def test_ranges_are_even(spark):
+    rows, df = uneven(spark)
+    sizes = [r["count"] for r in ordered.ranged(df, ["tile_id", "grp"], 16).groupBy("__range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * len(rows) / 16
+
+
+def test_running_values_over_ranges(spark):
+    rows, df = uneven(spark)
+    order = ["tile_id", "grp"]
+    line = ordered.ranged(df, order, 16)
+    value = F.when(F.col("grp") % 3 == 0, F.col("grp"))
+    found = [
+        ordered.with_previous(line, order, ["grp"]).select(*order, F.col("previous.grp").alias("v")),
+        *(ordered.with_running(line, order, {"v": (value, inclusive)}, how).select(*order, "v") for how in ("sum", "max", "last") for inclusive in (True, False)),
+    ]
+    want, previous, seen = [[] for _ in found], None, []
+    for t, g in sorted(rows):
+        want[0].append((t, g, previous))
+        now = [*seen, g] if g % 3 == 0 else seen
+        for k, values in enumerate((now, seen)):
+            want[1 + k].append((t, g, sum(values)))
+            want[3 + k].append((t, g, max(values, default=None)))
+            want[5 + k].append((t, g, values[-1] if values else None))
+        previous, seen = g, now
+    for got, expected in zip(found, want, strict=True):
+        assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_scratch_tables(spark, monkeypatch):
+    df = scratch.stored(spark.range(5))
+    where = getattr(df, scratch._PATH).removeprefix("file:")
+    assert os.path.exists(where) and df.count() == 5
+    scratch.forget(df, spark.range(1))
+    assert not os.path.exists(where)
+
+    class Cluster:
+        sparkContext = type("C", (), {"getCheckpointDir": lambda s: None, "getConf": lambda s: {}, "master": "local-cluster[3,2,1024]"})()
+        conf: ClassVar[dict] = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_dir(Cluster())
+
+
+def test_small_tables_go_to_all_cores(spark):
+    assert scratch.evenly(spark.read.parquet(f"{DATA}/documents.parquet")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_joins_deal_out_a_hot_key(spark):
+    rows = spark.range(3000).select((F.when(F.col("id") < 2000, 0).otherwise(F.col("id"))).alias("k"), F.col("id"))
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), mask("id"))
+    out = dealt(rows, facts, ["k"], "id")
+    assert out.where("k = 0").agg(F.count("*"), F.min("n"), F.max("n")).first() == (2000, 2000, 2000) and out.count() == 3000
 
 
 def test_two_level_looks_inside_the_leaf(spark):

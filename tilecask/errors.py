@@ -29,6 +29,8 @@ UnexpectedNumberOfBytesReturned = _error("UnexpectedNumberOfBytesReturned", "A r
 RangeRequestsUnsupported = _error("RangeRequestsUnsupported", "The server does not answer range requests with status 206.", ReadingError)
 ResponseBodyTooLong = _error("ResponseBodyTooLong", "The server sent more bytes than were asked for.", ReadingError)
 HttpError = _error("HttpError", "The server answered with an error.", ReadingError)
+InvalidHeaderValue = _error("InvalidHeaderValue", "A request header has characters that it may not have.", ReadingError)
+S3Error = _error("S3Error", "The S3 store failed.", ReadingError)
 ObjectStoreError = _error("ObjectStoreError", "The object store failed.", ReadingError)
 SourceModified = _error("SourceModified", "The source changed after it was opened.")
 InvalidCoordinate = _error("InvalidCoordinate", "z, x, y is no tile coordinate.")

@@ -32,10 +32,21 @@ def _brotli():
         raise E.UnsupportedCompression("Brotli: its module is not installed") from e
 
 
-def compressor(name: str, level: int | None = None) -> Callable[[bytes], bytes]:
-    """The compressor of a compression, or of ``module:callable``."""
-    if ":" in name:
-        module, _, attribute = name.partition(":")
+def compression_of(codec: str) -> str:
+    """The compression whose code a codec's output has in the header. A codec is the name of a compression, with
+    ``=module:callable`` after it where a function of one's own makes it."""
+    name = codec.partition("=")[0]
+    if name not in CODES:
+        raise E.UnsupportedCompression(f"{codec}: say which compression it is, as in Zstd=module:callable")
+    return name
+
+
+def compressor(codec: str, level: int | None = None) -> Callable[[bytes], bytes]:
+    """The compressor of a codec."""
+    name, _, own = codec.partition("=")
+    compression_of(codec)
+    if own:
+        module, _, attribute = own.partition(":")
         return getattr(importlib.import_module(module), attribute)
     if name == "None":
         return bytes
@@ -117,7 +128,14 @@ def encode_directory(tile_id, offset, length, run_length) -> bytes:
     return encode_varints(np.r_[np.array([len(ids)], np.int64), deltas, run, size, np.where(follows, 0, off + 1)])
 
 
-def decode_directory(data: bytes) -> dict[str, np.ndarray]:
+class Directory(dict):
+    """Entries as arrays: tile_id, offset, length and run_length."""
+
+    def __repr__(self) -> str:
+        return f"Directory [entries: {len(self['tile_id'])}]"
+
+
+def decode_directory(data: bytes) -> Directory:
     """tile_id, offset, length and run_length arrays. Trailing bytes are ignored."""
     head, used = decode_varints(data[:10], 1)
     if not used:
@@ -135,7 +153,7 @@ def decode_directory(data: bytes) -> dict[str, np.ndarray]:
     total = np.r_[0, np.cumsum(size)]
     last = np.maximum.accumulate(np.where(stored > 0, np.arange(n), 0)) if n else np.zeros(0, np.int64)
     offset = stored[last] - 1 + total[:-1] - total[last] if n else stored
-    return {"tile_id": np.cumsum(deltas), "offset": offset, "length": size, "run_length": run}
+    return Directory(tile_id=np.cumsum(deltas), offset=offset, length=size, run_length=run)
 
 
 def find(directory: dict[str, np.ndarray], tile: int) -> int | None:

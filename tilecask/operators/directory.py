@@ -1,16 +1,19 @@
-"""Directory coding as columns: chunks, deltas, elided and restored offsets. ``ordinal`` counts entries from 0."""
+"""Directory coding as columns: chunks, deltas, elided and restored offsets. ``ordinal`` counts entries from 0.
+
+Rows keep the ranges of the directory order (plans.ordered) from ``numbered`` on, so that they are cut once.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import plain, ranged, with_previous, with_running_sum, with_running_sums
+from ..plans.ordered import _RANGE, ranged, with_previous, with_running
 
 
 def numbered(entries: DataFrame) -> DataFrame:
     """``entries`` with ``ordinal``: their place in directory order (tile_id, grp)."""
-    return plain(with_running_sum(ranged(entries, "tile_id"), ["tile_id", "grp"], F.lit(1), "ordinal"))
+    return with_running(ranged(entries, ["tile_id", "grp"]), ["tile_id", "grp"], {"ordinal": (F.lit(1), False)})
 
 
 def chunked(numbered_entries: DataFrame, leaf_size: int) -> DataFrame:
@@ -24,21 +27,20 @@ def leaves(chunks: DataFrame) -> DataFrame:
 
 def encoded(numbered_entries: DataFrame) -> DataFrame:
     """ordinal, delta, run_length, length, stored_offset (0: right after the entry before)."""
-    rows = with_previous(ranged(numbered_entries, "ordinal"), ["ordinal"], ["tile_id", "offset", "length"])
+    rows = with_previous(ranged(numbered_entries, ["ordinal"]), ["ordinal"], ["tile_id", "offset", "length"])
     p = F.col("previous")
     follows = F.coalesce(F.col("offset") == p["offset"] + p["length"], F.lit(False))
-    return plain(rows).select("ordinal", (F.col("tile_id") - F.coalesce(p["tile_id"], F.lit(0))).alias("delta"), "run_length", "length", F.when(follows, 0).otherwise(F.col("offset") + 1).cast("long").alias("stored_offset"))
+    delta = (F.col("tile_id") - F.coalesce(p["tile_id"], F.lit(0))).alias("delta")
+    return rows.select(_RANGE, "ordinal", delta, "run_length", "length", F.when(follows, 0).otherwise(F.col("offset") + 1).cast("long").alias("stored_offset"))
 
 
 def decoded(coded: DataFrame) -> DataFrame:
     """ordinal, tile_id, run_length, offset, length: the inverse of ``encoded``."""
-    sums = {"tile_id": (F.col("delta"), True), "before": (F.col("length"), False), "piece": ((F.col("stored_offset") > 0).cast("long"), True)}
-    rows = with_running_sums(ranged(coded, "ordinal"), ["ordinal"], sums)
-    base = plain(rows).where("stored_offset > 0").select("piece", (F.col("stored_offset") - 1 - F.col("before")).alias("base"))
-    return plain(rows).join(base, "piece").select("ordinal", "tile_id", "run_length", (F.col("base") + F.col("before")).alias("offset"), "length")
+    rows = with_running(ranged(coded, ["ordinal"]), ["ordinal"], {"tile_id": (F.col("delta"), True), "before": (F.col("length"), False)})
+    base = F.when(F.col("stored_offset") > 0, F.col("stored_offset") - 1 - F.col("before"))
+    rows = with_running(rows, ["ordinal"], {"base": (base, True)}, "last")
+    return rows.select("ordinal", "tile_id", "run_length", (F.col("base") + F.col("before")).alias("offset"), "length")
 
 
 def first_leaf_size(n: int) -> int:
     return max(n // 3500, 4096)
-
-

@@ -3,74 +3,73 @@
 Only the nearest one counts, so this is an as-of join and no interval join: an id that only an earlier, longer run
 covers is not found. Of entries with one id the last one (by ``grp``) is taken.
 
-Entries and probes are laid on one line and cut into ranges of ids; inside a range a window carries the last entry
-forward, and the last entry of all ranges before comes from a table of one row per range.
+Entries and probes are laid on one line and cut into ranges; inside a range a window carries the last entry forward, and
+the last entry of all ranges before comes from a table of one row per range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import _RANGE, ranged
-from ..plans.scratch import stored
+from ..plans.ordered import ranged, with_running
+from .entries import ids_between
 
 ENTRY = ["tile_id", "run_length", "offset", "length", "grp"]
 
 
-def nearest(entries: DataFrame, probes: DataFrame) -> DataFrame:
-    """probe_id, tile and ``entry``: the last entry at or below each probed tile, whether it reaches the tile or not."""
-    e = entries.select(F.col("tile_id").alias("tile"), F.lit(0).alias("side"), F.struct(*ENTRY).alias("e"), F.lit(None).cast("long").alias("probe_id"))
-    p = probes.select("tile", F.lit(1).alias("side"), F.lit(None).cast(e.schema["e"].dataType).alias("e"), F.col("probe_id").cast("long").alias("probe_id"))
-    line = ranged(e.unionByName(p), "tile")
-    w = Window.partitionBy(_RANGE).orderBy("tile", "side", F.col("e.grp")).rowsBetween(Window.unboundedPreceding, 0)
-    found = line.withColumn("here", F.last("e", ignorenulls=True).over(w)).where("side = 1")
-    tops = line.where("side = 0").groupBy(_RANGE).agg(F.max_by("e", F.struct("e.tile_id", "e.grp")).alias("top"))
-    ranges = line.select(_RANGE).distinct()
-    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
-    starts = ranges.join(tops, _RANGE, "left").select(_RANGE, F.last("top", ignorenulls=True).over(before).alias("before"))
-    return found.join(F.broadcast(starts), _RANGE).select("probe_id", "tile", F.coalesce("here", "before").alias("entry"))
+def nearest(entries: DataFrame, probes: DataFrame, within: str | None = None) -> DataFrame:
+    """probe_id, tile and ``entry``: the last entry at or below each probed tile, whether it reaches the tile or not;
+    only entries that have the probe's ``within`` (a column of both, passed through), where it is given."""
+    part = [within] if within else []
+    of = {c: F.col(c).cast("long") for c in part}
+    e = entries.select(*(c.alias(n) for n, c in of.items()), F.col("tile_id").alias("tile"), F.lit(0).alias("side"), F.col("grp").alias("tie"), F.struct(*ENTRY, *part).alias("e"), F.lit(None).cast("long").alias("probe_id"))
+    probe_id = F.col("probe_id").cast("long")
+    p = probes.select(*(c.alias(n) for n, c in of.items()), "tile", F.lit(1).alias("side"), probe_id.alias("tie"), F.lit(None).cast(e.schema["e"].dataType).alias("e"), probe_id.alias("probe_id"))
+    order = [*part, "tile", "side", "tie"]
+    line = with_running(ranged(e.unionByName(p), order), order, {"entry": (F.col("e"), True)}, "last")
+    found = line.where("side = 1")
+    if within:
+        found = found.withColumn("entry", F.when(F.col("entry")[within] == F.col(within), F.col("entry")))
+    return found.select("probe_id", "tile", *part, "entry")
 
 
 def _reaches(e: Column) -> Column:
     return (e["run_length"] == 0) | (F.col("tile") - e["tile_id"] < e["run_length"]) | (F.col("tile") == e["tile_id"])
 
 
-def lookup(entries: DataFrame, probes: DataFrame) -> DataFrame:
-    """probe_id, tile, and offset and length where the tile is found (null elsewhere); leaf pointers count as found."""
+def _found(rows: DataFrame, *more: str) -> DataFrame:
     e = F.col("entry")
     reaches = _reaches(e)
-    rows = nearest(entries, probes)
-    return rows.select("probe_id", "tile", F.when(reaches, e["offset"]).alias("offset"), F.when(reaches, e["length"]).alias("length"), F.coalesce(reaches, F.lit(False)).alias("found"))
+    return rows.select("probe_id", "tile", *more, F.when(reaches, e["offset"]).alias("offset"), F.when(reaches, e["length"]).alias("length"), F.coalesce(reaches, F.lit(False)).alias("found"))
 
 
-def missing(entries: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``wanted`` (tile) that no entry covers."""
-    from .entries import expanded
+def lookup(entries: DataFrame, probes: DataFrame) -> DataFrame:
+    """probe_id, tile, and offset and length where the tile is found (null elsewhere); leaf pointers count as found."""
+    return _found(nearest(entries, probes))
+
 
-    return wanted.join(expanded(entries).select("tile").distinct(), "tile", "left_anti")
+def missing(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (tile) that a lookup does not find: runs are tested where they are, not expanded."""
+    return lookup(entries, wanted.select("tile", F.col("tile").alias("probe_id"))).where("not found").select("tile")
 
 
 def gaps(entries: DataFrame) -> DataFrame:
     """tile: the ids from 0 to the greatest covered one that no entry covers."""
-    entries = stored(entries)
-    top = entries.where("run_length > 0").agg(F.max(F.col("tile_id") + F.col("run_length"))).first()[0]
-    return missing(entries, entries.sparkSession.range(top or 0).withColumnRenamed("id", "tile"))
+    order = ["tile_id", "grp"]
+    rows = ranged(entries.where("run_length > 0").select("tile_id", "grp", (F.col("tile_id") + F.col("run_length")).alias("end")), order)
+    rows = with_running(rows, order, {"reached": (F.col("end"), False)}, "max")
+    return ids_between("reached", "tile_id")(rows.select(F.coalesce("reached", F.lit(0).cast("long")).alias("reached"), "tile_id")).select("tile")
 
 
 def two_level(entries: DataFrame, leaves: DataFrame, probes: DataFrame) -> DataFrame:
-    """A lookup through leaves: probes find the leaf by its first id, then the entry inside that leaf.
+    """A lookup through leaves: probes find the leaf by its first id, then the entry inside that leaf, and only there.
 
     ``leaves``: leaf, first. ``entries`` carry their ``leaf``.
     """
     root = leaves.select(F.col("first").alias("tile_id"), F.lit(0).cast("long").alias("run_length"), F.col("leaf").cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.col("leaf").cast("long").alias("grp"))
     at = lookup(root, probes).select("probe_id", "tile", F.col("offset").alias("leaf"))
-    # One array for each leaf, as large as a leaf at most.
-    inside = entries.groupBy(F.col("leaf").cast("long").alias("leaf")).agg(F.sort_array(F.collect_list(F.struct("tile_id", "grp", "run_length", "offset", "length"))).alias("inside"))
-    last = F.try_element_at(F.filter("inside", lambda x: x["tile_id"] <= F.col("tile")), F.lit(-1))
-    rows = at.join(inside, "leaf", "left").select("probe_id", "tile", "leaf", last.alias("entry"))
-    reaches = _reaches(F.col("entry"))
-    return rows.select("probe_id", "tile", "leaf", F.when(reaches, F.col("entry.offset")).alias("offset"), F.when(reaches, F.col("entry.length")).alias("length"), F.coalesce(reaches, F.lit(False)).alias("found"))
+    return _found(nearest(entries, at, within="leaf"), "leaf")
 
 
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:

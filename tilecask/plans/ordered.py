@@ -1,8 +1,9 @@
-"""Running sums and previous rows over a whole table, without gathering it in one partition.
+"""Running sums, maxima, last values and previous rows over a whole table, without gathering it in one partition.
 
-A window without a key plans one partition for all rows. Here the order column is cut into equal ranges; ranges are
-summed up in a small table (one row each), and windows run inside a range. What crosses a range's border comes from
-that table. The number of ranges is fixed, so the small table has a proven size.
+A window without a key plans one partition for all rows. Here rows are range-partitioned by the whole order, so that
+ranges have about equal numbers of rows however uneven the first column is (its ties are split by the others), and
+stored once with the number of their range. Ranges are summed up in a small table, one row each, and windows run inside
+a range. What crosses a range's border comes from that table. There are at most ``spark.sql.shuffle.partitions`` ranges.
 """
 
 from __future__ import annotations
@@ -12,51 +13,56 @@ from pyspark.sql import functions as F
 
 from .scratch import stored
 
-RANGES = 1024
 _RANGE = "__range"
 
 
-def ranged(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """``df`` with the number of each row's range; nulls of ``order`` come first. ``df`` is stored first, as it is read
-    several times: for the borders, for the sums of ranges, and for the rows."""
-    df = stored(df)
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(_RANGE, F.lit(-1).cast("long"))
-    width = (high - low) // ranges + 1
-    return df.withColumn(_RANGE, F.coalesce(F.expr(f"(`{order}` - {low}L) div {width}L"), F.lit(-1).cast("long")))
+def ranged(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` stored with the number of each row's range; nulls come first. ``order`` should be unique.
+
+    What is ranged already is taken as it is: its order must go on to hold.
+    """
+    if _RANGE in df.columns:
+        return df
+    by = [F.col(c).asc_nulls_first() for c in order]
+    cut = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    return stored(cut.withColumn(_RANGE, F.spark_partition_id()))
 
 
 def _inside(order: list[str]):
     return Window.partitionBy(_RANGE).orderBy(*order)
 
 
-def with_running_sums(df: DataFrame, order: list[str], sums: dict[str, tuple[Column, bool]]) -> DataFrame:
-    """``df`` (ranged) with a column for each of ``sums``: the sum of a value over all rows before, and the row itself
-    where it is inclusive."""
-    names = list(sums)
-    rows = df.withColumns({f"__v{i}": sums[n][0] for i, n in enumerate(names)})
-    totals = rows.groupBy(_RANGE).agg(*(F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))))
-    over = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
-    starts = totals.select(_RANGE, *(F.coalesce(F.sum(f"__t{i}").over(over), F.lit(0)).alias(f"__s{i}") for i in range(len(names))))
+def _last(value: Column | str) -> Column:
+    return F.last(value, ignorenulls=True)
 
-    def total(i: int) -> Column:
-        frame = _inside(order).rowsBetween(Window.unboundedPreceding, 0 if sums[names[i]][1] else -1)
-        return (F.col(f"__s{i}") + F.coalesce(F.sum(f"__v{i}").over(frame), F.lit(0))).cast("long")
 
-    out = rows.join(F.broadcast(starts), _RANGE).withColumns({n: total(i) for i, n in enumerate(names)})
-    return out.drop(*(f"__{k}{i}" for k in "vs" for i in range(len(names))))
+def with_running(df: DataFrame, order: list[str], wanted: dict[str, tuple[Column, bool]], how: str = "sum") -> DataFrame:
+    """``df`` (ranged) with a column for each of ``wanted``: the sum, maximum (``max``) or last value that is not null
+    (``last``) of a value over all rows before, and the row itself where it is inclusive."""
+    of = {"sum": F.sum, "max": F.max, "last": _last}[how]
+    names = list(wanted)
+    rows = df.withColumns({f"__v{i}": wanted[n][0] for i, n in enumerate(names)})
+    total = [F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.struct(*order))) if how == "last" else of(f"__v{i}") for i in range(len(names))]
+    totals = rows.groupBy(_RANGE).agg(*(t.alias(f"__t{i}") for i, t in enumerate(total)))
+    over = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    starts = totals.select(_RANGE, *(of(f"__t{i}").over(over).alias(f"__s{i}") for i in range(len(names))))
 
+    def value(i: int) -> Column:
+        frame = _inside(order).rowsBetween(Window.unboundedPreceding, 0 if wanted[names[i]][1] else -1)
+        here, before = of(f"__v{i}").over(frame), F.col(f"__s{i}")
+        if how == "sum":
+            return (F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))).cast("long")
+        return F.greatest(before, here) if how == "max" else F.coalesce(here, before)
 
-def with_running_sum(df: DataFrame, order: list[str], value: Column, into: str, inclusive: bool = False) -> DataFrame:
-    return with_running_sums(df, order, {into: (value, inclusive)})
+    out = rows.join(F.broadcast(starts), _RANGE).withColumns({n: value(i) for i, n in enumerate(names)})
+    return out.drop(*(f"__{k}{i}" for k in "vs" for i in range(len(names))))
 
 
 def with_previous(df: DataFrame, order: list[str], columns: list[str], into: str = "previous") -> DataFrame:
     """``df`` (ranged) with a struct of ``columns`` of the row before, null for the first row."""
     own = F.struct(*columns)
     last = df.groupBy(_RANGE).agg(F.max_by(own, F.struct(*order)).alias("__last"))
-    before = last.select(_RANGE, F.lag("__last").over(Window.orderBy(_RANGE)).alias("__before"))  # over RANGES rows
+    before = last.select(_RANGE, F.lag("__last").over(Window.orderBy(_RANGE)).alias("__before"))  # one row for each range
     inside = F.lag(own).over(_inside(order))
     first = F.row_number().over(_inside(order)) == 1
     return df.join(F.broadcast(before), _RANGE).withColumn(into, F.when(first, F.col("__before")).otherwise(inside)).drop("__before")

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+import importlib
 import json
-from collections import OrderedDict, deque
+import threading
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 from .. import errors as E
 from ..functions import codec
+from ..functions.codec import Directory
 from ..functions.tiles import MAX_TILE_ID, ids_of
 from .ranges import Ranges, open_ranges
 
 #: A lookup consults at most so many leaf directories; a scan goes no deeper.
 LEAF_LEVELS = 6
-Directory = dict[str, np.ndarray]
 
 
 class NoCache:
-    """Directories by their absolute offset. Not to be shared between archives. Errors are not kept."""
+    """Directories by their absolute offset. Not to be shared between archives. Errors are not kept.
+
+    Subclass this, with ``get``, for another kind of cache.
+    """
 
     def get(self, offset: int, fetch: Callable[[], Directory]) -> Directory:
         return fetch()
 
 
 class DictCache(NoCache):
+    """Every directory that was read."""
+
     def __init__(self):
         self.kept: dict[int, Directory] = {}
 
@@ -36,35 +43,57 @@ class DictCache(NoCache):
 
 
 class LruCache(NoCache):
-    """The ``most`` directories used last."""
+    """The ``most`` directories used last. Threads that ask for one directory at a time fetch it once; a failed fetch is a
+    ``DirectoryCacheError``."""
 
     def __init__(self, most: int = 64):
-        self.most, self.kept = most, OrderedDict()
+        self.most, self.kept, self.flights, self.lock = most, OrderedDict(), {}, threading.Lock()
 
     def get(self, offset: int, fetch: Callable[[], Directory]) -> Directory:
-        if offset in self.kept:
-            self.kept.move_to_end(offset)
-        else:
-            self.kept[offset] = fetch()
-            while len(self.kept) > self.most:
-                self.kept.popitem(last=False)
-        return self.kept[offset]
+        with self.lock:
+            flight = self.flights.setdefault(offset, threading.Lock())
+        with flight:
+            with self.lock:
+                if offset in self.kept:
+                    self.kept.move_to_end(offset)
+                    return self.kept[offset]
+            try:
+                got = fetch()
+            except E.ArchiveError as e:
+                raise E.DirectoryCacheError(f"directory at {offset}: {e.error_class}: {e}") from e
+            with self.lock:
+                self.kept[offset] = got
+                while len(self.kept) > self.most:
+                    self.flights.pop(self.kept.popitem(last=False)[0], None)
+            return got
 
 
 CACHES = {"none": NoCache, "dict": DictCache, "lru": LruCache}
 
 
+def make_cache(kind: str) -> NoCache:
+    """A cache by its name, or by ``module:callable``."""
+    if ":" in kind:
+        module, _, attribute = kind.partition(":")
+        return getattr(importlib.import_module(module), attribute)()
+    return CACHES[kind]()
+
+
 class Archive:
-    """Opens with one read: header and root directory lie in the first 16 KiB."""
+    """Opens with one read: header and root directory lie in the first 16 KiB. With ``head`` (those bytes) and their
+    ``version`` it opens without a read; of a ``head`` that is the header alone the root is empty, leaves can be read."""
 
-    def __init__(self, source: Ranges | str, cache: NoCache | None = None):
+    def __init__(self, source: Ranges | str, cache: NoCache | None = None, head: bytes | None = None, version: str | None = None):
         self.source = open_ranges(source) if isinstance(source, str) else source
         self.cache = cache or NoCache()
-        start, self.version = self.source.read(0, codec.INITIAL_READ)
-        self.header = h = codec.decode_header(start)
-        if h.root_offset < codec.HEADER_SIZE or h.root_offset + h.root_length > len(start):
+        self.head, self.version = (head, version) if head is not None else self.source.read(0, codec.INITIAL_READ)
+        self.header = h = codec.decode_header(self.head)
+        if head is not None and len(head) == codec.HEADER_SIZE:
+            self.root = codec.decode_directory(b"\0")
+            return
+        if h.root_offset < codec.HEADER_SIZE or h.root_offset + h.root_length > len(self.head):
             raise E.InvalidHeader("the root directory is not in the first 16 KiB")
-        self.root = self._decode(start[h.root_offset : h.root_offset + h.root_length])
+        self.root = self._decode(self.head[h.root_offset : h.root_offset + h.root_length])
 
     def _decode(self, data: bytes) -> Directory:
         return codec.decode_directory(codec.decompress(self.header.internal_compression, data))
@@ -116,19 +145,32 @@ class Archive:
         except UnicodeDecodeError as e:
             raise E.InvalidMetadataUtf8Encoding(str(e)) from e
 
-    def directories(self) -> Iterator[tuple[int, int, Directory]]:
-        """(level, offset, directory) of all directories, the root (offset -1) first, level by level."""
-        queue = deque([(0, -1, self.root)])
-        seen: set[int] = set()
-        while queue:
-            level, at, directory = queue.popleft()
-            yield level, at, directory
-            for i in np.flatnonzero(directory["run_length"] == 0):
-                offset = int(directory["offset"][i])
-                if level >= LEAF_LEVELS or offset in seen:
-                    raise E.InvalidEntry(f"leaf at {offset}: too deep, or met before")
-                seen.add(offset)
-                queue.append((level + 1, offset, self.leaf(offset, int(directory["length"][i]))))
+    def leaves_of(self, directory: Directory, low: int = 0, high: int = MAX_TILE_ID) -> list[tuple[int, int]]:
+        """Offset and length of the leaves of a directory that may hold ids from ``low`` to ``high``.
+
+        A repeated id can be on both sides of a border, and out of order a run can reach beyond it.
+        """
+        ids = directory["tile_id"]
+        upper = np.r_[ids[1:], MAX_TILE_ID + 1] if len(ids) else ids
+        reaches = upper >= low if self.header.clustered else np.ones(len(ids), bool)
+        some = np.flatnonzero((directory["run_length"] == 0) & reaches & (ids <= high))
+        found = [(int(directory["offset"][i]), int(directory["length"][i])) for i in some]
+        if len({o for o, _ in found}) < len(found):
+            raise E.InvalidEntry("a leaf is met twice")
+        return found
+
+    def directories(self, low: int = 0, high: int = MAX_TILE_ID, leaf: tuple[int, int] | None = None, level: int = 1) -> Iterator[tuple[int, int, Directory]]:
+        """(level, offset, directory) level by level: the root (offset -1) and what is under it, or one leaf and what is
+        under that. Leaves beyond ``low`` and ``high`` are not read."""
+        now = [(0, -1, self.root)] if leaf is None else [(level, leaf[0], self.leaf(*leaf))]
+        seen = {at for _, at, _ in now}
+        while now:
+            yield from now
+            below = [(depth + 1, *x) for depth, _, directory in now for x in self.leaves_of(directory, low, high)]
+            if any(depth > LEAF_LEVELS or at in seen for depth, at, _ in below):
+                raise E.InvalidEntry("leaves are too deep, or one is met twice")
+            seen.update(at for _, at, _ in below)
+            now = [(depth, at, self.leaf(at, length)) for depth, at, length in below]
 
     def entries(self) -> Iterator[dict[str, int]]:
         """All tile entries, level by level."""

@@ -1,7 +1,9 @@
-"""Byte ranges of files, web servers and buffers. A read gives bytes and, where there is one, the data's version."""
+"""Byte ranges of files, web servers, object stores and buffers. A read gives bytes and, where there is one, the data's
+version."""
 
 from __future__ import annotations
 
+import importlib
 import mmap
 import os
 import urllib.error
@@ -43,7 +45,7 @@ class BufferRanges(Ranges):
 
 
 class FileRanges(BufferRanges):
-    """A local file, mapped into memory. The version is its time and size when it was opened."""
+    """A local file, mapped into memory. The version is its time and size, looked up at every read."""
 
     def __init__(self, path: str):
         try:
@@ -54,7 +56,6 @@ class FileRanges(BufferRanges):
             raise E.UnableToOpenFile(f"{path}: {e}") from e
         super().__init__(data)
         self.path = path
-        self.stamp = f"{stat.st_mtime_ns}-{stat.st_size}"
 
     def read(self, offset: int, length: int) -> tuple[bytes, str | None]:
         stat = os.stat(self.path)
@@ -65,6 +66,9 @@ class HttpRanges(Ranges):
     """A web server that answers range requests. The version is the ETag, else Last-Modified."""
 
     def __init__(self, url: str, headers: dict[str, str] | None = None, timeout: float = 60):
+        for name, value in (headers or {}).items():
+            if any(c in f"{name}{value}" for c in "\r\n\0"):
+                raise E.InvalidHeaderValue(name)
         self.url, self.headers, self.timeout = url, headers or {}, timeout
 
     def read(self, offset: int, length: int) -> tuple[bytes, str | None]:
@@ -84,7 +88,40 @@ class HttpRanges(Ranges):
         return data, version
 
 
-def open_ranges(path: str) -> Ranges:
+class ObjectRanges(Ranges):
+    """An object of a store that ``pyarrow.fs`` knows (``s3://``, ``gs://``, ``abfss://``, ``hdfs://``, ``file://``), or of
+    a given ``pyarrow.fs.FileSystem``. Only the asked ranges are read. The version is the object's time and size."""
+
+    def __init__(self, uri: str, store=None):
+        from pyarrow import fs
+
+        uri = uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri
+        self.error = E.S3Error if uri.startswith("s3://") else E.ObjectStoreError
+        try:
+            self.store, self.path = (store, uri) if store else fs.FileSystem.from_uri(uri)
+            self.file = self.store.open_input_file(self.path)
+        except Exception as e:  # OSError, or the library's own kinds for a bad address
+            raise self.error(f"{uri}: {e}") from e
+
+    def read(self, offset: int, length: int) -> tuple[bytes, str | None]:
+        try:
+            info = self.store.get_file_info(self.path)
+            if offset > (info.size or 0):
+                raise E.ReadingError(f"offset {offset} is beyond the end, {info.size}")
+            data = self.file.read_at(length, offset)
+        except OSError as e:
+            raise self.error(f"{self.path}: {e}") from e
+        return data, f"{info.mtime_ns}-{info.size}"
+
+
+def open_ranges(path: str, kind: str | None = None) -> Ranges:
+    """The byte ranges of ``path``. ``kind``: ``object``, or ``module:callable`` (takes the path, gives ``Ranges``); by
+    default what the address says."""
+    if kind and ":" in kind:
+        module, _, attribute = kind.partition(":")
+        return getattr(importlib.import_module(module), attribute)(path)
     if path.startswith(("http://", "https://")):
         return HttpRanges(path)
+    if kind == "object" or ("://" in path and not path.startswith("file://")):
+        return ObjectRanges(path if "://" in path else f"file://{os.path.abspath(path.removeprefix('file:'))}")
     return FileRanges(path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:"))
