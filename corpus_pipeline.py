@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near copies, repeated passages, benchmark passages, tokens.
 
-Each stage works on all that the stage before kept. The first four return the columns of ``documents``; the last one
-adds the ids. A stage's result is written as Parquet in the shared folder and read again.
+Each stage works on all that the stage before kept. The first four return the columns of their input, whatever else it
+has beside those of ``documents``; the last one returns doc_id, ids, n_tokens and round_trip, one row for each document
+that is left. A stage's result is written as Parquet in the shared folder and read again. An empty table stays empty
+through all stages; null texts are like empty ones, which every stage but the classifier keeps.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ QUALITY = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of low quality; learned from the labels of four fifths of the documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold("doc_id", 5) != 0)
-    out = quality.scored(docs, quality.train(docs, labels), score="__quality")
-    return out.where(F.col("__quality") >= QUALITY).select(*docs.columns)
+    score = "__quality"
+    while score in map(str.lower, docs.columns):
+        score += "_"
+    out = quality.scored(docs, quality.train(docs, labels), score=score)
+    return out.where(F.col(score) >= QUALITY).select(*docs.columns)
 
 
 def without_copies(docs: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def test_near_duplicates_of_a_template(spark, n, times, monkeypatch):
     df = spark.createDataFrame(rows * times, "doc_id long, text string").repartition(4)
     out = neardup.near_duplicates(df, k=2).select("doc_id", "component_id", "kept").collect()
     assert sorted(map(tuple, out)) == sorted((i, c, i == c) for (i, _), c in zip(rows, want, strict=True) for _ in range(times))
-    assert len(made) == 2 and sum(made) < 20 * n and (n < 4000 or made[1] > 0)
+    assert len(made) == 3 and sum(made) < 20 * n and (n < 4000 or made[2] > 0)
 
 
 def test_near_duplicates_of_nothing(docs):
@@ -159,7 +159,7 @@ def test_decontaminate(docs, rows, spark):
     want = sorted(map(str, brute.leaks(rows, items)))
     columns = ("doc_id", "n_words", "n_hit", "n_items", decontaminate.digest(), F.col("n_hit") > 0)
     assert got(decontaminate.marked(docs, table), *columns) == want
-    assert got(decontaminate.marked(docs, table, block_bytes=150), *columns) == want
+    assert got(decontaminate.marked(docs, table, block_bytes=500), *columns) == want
     clean = decontaminate.clean(docs, table)
     assert clean.count() == sum("True" not in w for w in want) and clean.columns == docs.columns
     assert decontaminate.marked(docs, table.where("false")).agg(F.sum("n_hit")).first()[0] == 0
@@ -202,7 +202,8 @@ def test_toxicity_steps_are_held_out(n):
 def test_toxicity_uncovers_long_words():
     known = toxicity.Words({"idiot": 1.5, "moron*": 2.0})
     words = ["1d1ot", "i" + "-" * 60 + "d1ot", "m0r0n" * 20, "x1" * 50, "a" * 60 + "-" * 60, "1" * 5000 + "-", "plain" * 20]
-    rows = [known.table()[known[w]] for w in words for _ in [known[w]]]
+    at = [known[w] for w in words]
+    rows = known.table()[at]
     assert [(float(r[0]), int(r[6]), int(r[7])) for r in rows] == [(1.5, 1, 1), (1.5, 1, 1), (2.0, 1, 1), (0, 1, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
 
 

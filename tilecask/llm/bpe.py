@@ -7,7 +7,9 @@ binary search over the sorted pair keys, is joined wherever it stands. No word w
 the words that still have a pair.
 
 Null texts count as empty: no ids, decoded text "". Equal rows get equal results; a very long text is one row of one
-slice, and its memory is a small multiple of its size.
+slice, and its memory is a small multiple of its size. Pieces of more than ``LONG`` characters (texts without spaces,
+encoded data) are forgotten after their slice, so that memories have a bound in bytes. An empty table gives an empty
+one; a column named like the result is replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import appended
+from .common import LONG, appended
 
 #: The public byte-level pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,6 +77,7 @@ class BytePairCodec:
         self.plain: tuple[dict, dict] = ({}, {})
         self.odd: tuple[dict, dict] = ({}, {})
         self.words: dict[str, bytes] = {}
+        self.passing: list[tuple[dict, str]] = []  # memories and what they hold for the current slice only
         first = self.ranks((self.base[:, None] * size + self.base[None, :]).ravel())
         self.first_ranks = first.reshape(256, 256)
 
@@ -141,6 +144,7 @@ class BytePairCodec:
         known = self.words
         if len(known) > self.memory:
             known.clear()
+        self.passing += [(into, p) for p in pieces if len(p) > LONG]
         plans = []
         for piece in pieces:
             if piece.isalpha() and self.common(piece):
@@ -151,6 +155,7 @@ class BytePairCodec:
                 plans.append((piece, self.pretokens(lead + piece)))
         new = list({w for _, cuts in plans for w in cuts}.difference(known))
         known.update(zip(new, self.merge([w.encode() for w in new]), strict=True))
+        self.passing += [(known, w) for w in new if len(w) > LONG]
         for piece, cuts in plans:
             into[piece] = known[cuts[0]] if len(cuts) == 1 else b"".join([known[w] for w in cuts])
 
@@ -193,6 +198,9 @@ class BytePairCodec:
         try:
             return self._encode(texts)
         finally:
+            for memory, piece in self.passing:
+                memory.pop(piece, None)
+            self.passing.clear()
             if collects:
                 gc.enable()
 

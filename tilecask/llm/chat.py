@@ -9,7 +9,11 @@ sorted, are intersected by binary search. What is masked is the part of each suc
 Control strings are special tokens, never joined with text, so a conversation is encoded in pieces that end after a
 control string; state between pieces is a few numbers and running hashes. A conversation of any length thus streams
 through one task without being held. Rows come sorted by (conv_id, turn, role, text); null texts and roles are empty,
-null conv_ids form one conversation, null turns come first, repeated rows are turns of their own.
+null conv_ids form one conversation, null turns come first, repeated rows are turns of their own. An empty table gives an
+empty one. Columns beyond the four are not looked at, whatever they are called.
+
+A conversation is one task: its digests are over all of it in order, and a hash cannot be joined from parts. The task
+sorts on disk and streams, so that a conversation of a third of all rows costs time, not memory.
 """
 
 from __future__ import annotations

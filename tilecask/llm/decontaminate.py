@@ -9,10 +9,13 @@ occur where its rarest word does, so that word at its place in the window is the
 windows on it. A candidate must lie within its document (positional and length bounds) and is then verified word by
 word. Everything runs over flat arrays of word numbers of a slice of documents.
 
-The index of the windows is broadcast in blocks of at most ``block_bytes`` of item text; beyond one block, documents are
-scanned once for each block, and the hits of a document are joined before they are counted. Null texts have no words.
-Documents without hits, empty texts and an empty table of items give 0 and "". Items with a null id hit words, but are
-not listed; items or documents that repeat count as they stand: a listed id once, each document row by itself.
+The index of the windows, flat arrays of some ten times the bytes of the items, is broadcast in blocks of at most
+``block_bytes`` of different items' text (a longer item is a block by itself); beyond one block, documents are scanned
+once for each block, and the hits of a document are joined before they are counted. The blocks do not change results.
+Null texts have no words. Documents without hits, empty texts and an empty table of items give 0 and "". Very long texts
+are one row like others. Items with a null id hit words, but are not listed; items that repeat are one, each document
+row counts by itself. An empty table of documents gives an empty one. ``marked`` returns its own columns only; ``clean``
+looks at no column but the text and passes all through.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import evenly, slices
 
 #: Items of one broadcast index, by the bytes of their texts. A single longer item is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -63,31 +66,51 @@ def frequencies(docs: DataFrame, words: list[bytes], text: str = "text") -> dict
 
 
 class Index:
-    """The windows of items, by their rarest word."""
+    """The windows of items, by their rarest word: for each length of window its words, sorted by the prefix word."""
 
     def __init__(self, items: list[tuple], size: int, counts: dict[bytes, int]):
         self.size = size
         words = vocabulary(items)
         self.number = Numbers({w: i + 1 for i, w in enumerate(words)})
         frequency = np.array([0, *(counts.get(w, 0) for w in words)], np.int64)
-        windows: dict[tuple, set] = {}
-        for item, text in items:
-            seq = [self.number[w] for w in words_of(text)]
-            for at in range(max(1, len(seq) - size + 1) if seq else 0):
-                windows.setdefault(tuple(seq[at : at + size]), set()).add(item)
-        by_length: dict[int, list] = {}
-        for w in windows:
-            by_length.setdefault(len(w), []).append(w)
-        self.parts = []  # one for each length of window: windows, prefix word and place, windows by prefix word
-        self.items = []
-        for length, found in sorted(by_length.items()):
-            seqs = np.array(found, np.int32).reshape(len(found), length)
+        texts = [np.array([self.number[w] for w in words_of(text)], np.int32) for _, text in items]
+        n = np.array([len(t) for t in texts], np.int64)
+        starts, flat = np.cumsum(n) - n, np.concatenate([np.zeros(0, np.int32), *texts])
+        self.names = sorted({str(i) for i, _ in items if i is not None})
+        rank = {name: i for i, name in enumerate(self.names)}
+        owner_of = np.array([-1 if i is None else rank[str(i)] for i, _ in items], np.int64)
+        self.parts = []  # one for each length of window: windows, place of the prefix word, windows by prefix word
+        owners, base = [np.zeros((0, 2), np.int64)], 0
+        for length in np.unique(np.minimum(n[n > 0], size)).tolist():
+            own = np.flatnonzero(np.minimum(n, size) == length)
+            many = n[own] - length + 1
+            item = np.repeat(own, many)
+            begin = starts[item] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            seqs, which = np.unique(flat[begin[:, None] + np.arange(length)], axis=0, return_inverse=True)
             place = frequency[seqs].argmin(1)  # the rarest word: the necessary prefix
-            prefix = seqs[np.arange(len(found)), place]
+            prefix = seqs[np.arange(len(seqs)), place]
             order = np.argsort(prefix, kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
             first = np.searchsorted(prefix[order], np.arange(len(words) + 2))
-            self.parts.append((length, seqs[order], place[order], first, len(self.items)))
-            self.items += [sorted({str(i) for i in windows[found[k]] if i is not None}) for k in order]
+            self.parts.append((length, seqs[order], place[order], first, base))
+            named = owner_of[item] >= 0
+            owners.append(np.stack([base + number[which.ravel()[named]], owner_of[item[named]]], 1))
+            base += len(seqs)
+        pairs = np.unique(np.concatenate(owners), axis=0)
+        self.owner = pairs[:, 1]
+        self.owner_starts = np.searchsorted(pairs[:, 0], np.arange(base + 1))
+
+    def items_of(self, doc: np.ndarray, window: np.ndarray) -> dict[int, list[str]]:
+        """The ids of the items whose windows occur in each document, sorted as strings."""
+        pairs = np.unique(doc * np.int64(max(len(self.owner_starts), 1)) + window)
+        doc, window = np.divmod(pairs, max(len(self.owner_starts), 1))
+        n = self.owner_starts[window + 1] - self.owner_starts[window]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.owner_starts[window], n)
+        found: dict[int, list[str]] = {}
+        for d, o in np.unique(np.stack([np.repeat(doc, n), self.owner[place]], 1), axis=0).tolist():
+            found.setdefault(d, []).append(self.names[o])
+        return found
 
     def hits(self, seq: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences in documents laid end to end: begin, length and window, in no order."""
@@ -129,11 +152,18 @@ def _chunks(ends: np.ndarray, most: int):
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The items that have a text, in as many parts as the bound asks for."""
-    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    """The different items that have a text, in as many parts as the bound asks for."""
+    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text")).distinct()
+    size = F.octet_length("text") + 64
+    total = rows.agg(F.sum(size)).first()[0] or 0
     n = -(-total // block_bytes)
-    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n * 2)) == i) for i in range(n * 2)] if n else []
+    if n <= 1:
+        return [rows] if n else []
+    while True:
+        n *= 2
+        block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+        if rows.groupBy(block.alias("b")).agg(F.sum(size).alias("s"), F.count("*").alias("c")).where(f"s > {block_bytes} and c > 1").isEmpty():
+            return [rows.where(block == i) for i in range(n)]
 
 
 FIELDS = "n_words long, n_hit long, n_items long, items string"
@@ -142,7 +172,7 @@ FIELDS = "n_words long, n_hit long, n_items long, items string"
 def marked(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items and items (ids sorted as strings, comma-joined) of each document."""
     spark = docs.sparkSession
-    few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    few = evenly(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     kind = few.schema["doc_id"].dataType.simpleString()
     indexes = []
     for block in _blocks(items, item_id, item_text, block_bytes):
@@ -178,10 +208,8 @@ def _scan(docs: DataFrame, held, kind: str) -> DataFrame:
             np.add.at(edge, begin + length, -1)
             hit = np.r_[0, np.cumsum(np.cumsum(edge)[:-1] > 0)]
             doc = np.searchsorted(starts[1:], begin, "right")
-            found: dict[int, set] = {}
-            for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
-                found.setdefault(d, set()).update(index.items[w])
-            names = [sorted(found.get(d, ())) for d in range(part.num_rows)]
+            found = index.items_of(doc, window)
+            names = [found.get(d, []) for d in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(np.diff(starts)), pa.array(hit[starts[1:]] - hit[starts[:-1]]), pa.array([len(n) for n in names], pa.int64()), pa.array([",".join(n) for n in names], pa.string())],
                 ["doc_id", "n_words", "n_hit", "n_items", "items"],
@@ -201,13 +229,13 @@ def _spans(docs: DataFrame, held) -> DataFrame:
             seq, starts = _slice(part, index.number)
             begin, length, window = index.hits(seq, starts)
             doc = np.searchsorted(starts[1:], begin, "right")
-            keys, spans, names = [], [], []
+            keys, spans, names, found = [], [], [], index.items_of(doc, window)
             for d in np.unique(doc):
                 own = doc == d
                 b = begin[own] - starts[d]
                 keys.append(hashlib.sha256(part.column("text")[int(d)].as_py().encode()).hexdigest())
                 spans.append(np.unique(np.stack([b, b + length[own]], 1), axis=0).ravel().tolist())
-                names.append(sorted({i for w in set(window[own].tolist()) for i in index.items[w]}))
+                names.append(found.get(int(d), []))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["key", "spans", "items"])
 
     return docs.dropDuplicates(["text"]).mapInArrow(run, "key string, spans array<long>, items array<string>")

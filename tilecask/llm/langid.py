@@ -6,8 +6,14 @@ compressed with each dictionary and the sizes are summed: the language of the sm
 of the winner in a softmax of the saved bytes per chunk; ``reliable`` is false where the margin over the runner-up is
 below ``margin`` of the winner's size, and a caller may reject those.
 
-Chunks end with whole texts, nothing is cut away. Texts that are null or have no letter are ``und`` with score 0 and not
-reliable; so is every text if nothing was learned. Ties go to the language that sorts first.
+Chunks end with whole texts, nothing is cut away, however long. Texts that are null or have no letter are ``und`` with
+score 0 and not reliable; so is every text if nothing was learned. Ties go to the language that sorts first. Repeated
+rows get equal results. An id that several rows of a language have is one learned document, with the least of their
+texts. An empty table gives an empty one; columns named like the results (``lang_pred``, ``score``, ``reliable``) are
+replaced, others pass through.
+
+What is learned has a bound: ``SAMPLE`` documents of each language, of lowest hash, and of each of these its beginning,
+so that a language's dictionary has ``DICTIONARY`` bytes.
 """
 
 from __future__ import annotations

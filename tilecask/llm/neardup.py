@@ -15,16 +15,16 @@ shingles (fewer words, but not none: the whole sequence as one). Documents are l
    that are in a pair; they never travel with pairs.
 4. Larger buckets in which several components are left are compared exactly in blocks: the rows of a bucket are dealt
    into blocks of some ``BLOCK`` rows, a component that fills a block has blocks of its own, and two blocks meet in one
-   task unless both belong to one such component. Inside, numpy rules
-   pairs out by component, size, an earlier shared band (they were compared there) and sketch; for the others, the
-   shingles that two rows of the blocks share become bitmaps, whose AND gives the intersections. Only confirmed links
-   come out, one at most for two components, so that a block yields fewer links than it has rows.
+   task unless both belong to one such component. Inside, numpy rules pairs out by component, size, an earlier shared
+   band (they were compared there) and sketch. Few remaining pairs go through step 3. Where they are many, the blocks
+   meet once more with their shingles: those that two rows share become bitmaps, whose AND gives the intersections, and
+   of the confirmed links one at most for two components comes out, fewer than the blocks have rows.
 
 No bucket or group is cut, and no pair of a large bucket becomes a row. The work of step 4 grows with the square of the
 number of classes in a bucket that no leader joins (pages on one template with similarities just under the threshold),
 spread over that many pairs of blocks; groups of near copies collapse in step 2 and cost their number of rows.
 
-Groups of any size (copies, buckets, a leader's pairs, a hub of links) are joined in up to ``SALTS`` tasks.
+Groups of any size (copies, buckets, a leader's pairs, a hub of links) are dealt over several tasks wherever they are joined.
 
 Rows with one doc_id are one document: linked where any of their texts is. Repeated rows are one class and change
 nothing. Documents without words (null, empty or blank texts) are linked with nothing; rows with a null id take no part,
@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.dealt import dealt, mask
 from .common import WordHash, evenly, forget, hashed, mixed, slices, written
 
 BANDS, ROWS = 32, 5
@@ -48,7 +49,8 @@ SKETCH_WORDS = 8
 SMALL = 12
 #: Rows and shingles of a block, on average.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
-SALTS = 64
+#: A pair of blocks gives so many candidates, and one more for four of its rows, or is compared as a whole.
+FEW_PAIRS = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -141,33 +143,14 @@ def _may_link(percent: int, x: str, y: str) -> Column:
     return (few * 100 >= many * percent) & (sum(differ[1:], differ[0]) <= most_ones(percent))
 
 
-def _salt(by: str) -> Column:
-    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
-
-
-def _mask(by: str) -> Column:
-    """An aggregate: the salts that a group's rows have, as bits."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _salt(by))).alias("__mask")
-
-
-def _dealt(rows: DataFrame, facts: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``facts`` (key, __mask, more) on ``key``; the rows of one key go to up to ``SALTS`` tasks.
-
-    A fact is copied once for each salt that its group has, so at most once for each row.
-    """
-    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("__mask", i) == 1)
-    copies = facts.withColumn("__salt", F.explode(salts)).drop("__mask")
-    return rows.withColumn("__salt", _salt(by)).join(copies, [*key, "__salt"], how).drop("__salt")
-
-
 def _named(rows: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return rows.select(F.col("rep").alias(prefix), *(F.col(c).alias(f"{prefix}_{c}") for c in columns))
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
     """``pairs`` (a, b) with ``columns`` of ``of`` (rep, ...) for both ends; a is the end that many pairs may share."""
-    hubs = pairs.groupBy("a").agg(_mask("b")).join(_named(of, "a", columns), "a")
-    return _dealt(pairs.join(_named(of, "b", columns), "b"), hubs, ["a"], "b")
+    hubs = pairs.groupBy("a").agg(mask("b")).join(_named(of, "a", columns), "a")
+    return dealt(pairs.join(_named(of, "b", columns), "b"), hubs, ["a"], "b")
 
 
 def _shingles(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -206,11 +189,11 @@ def components(links: DataFrame) -> DataFrame:
     pairs = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), _mask("v")).withColumn("m", F.least("u", "m"))
-        large = _dealt(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"), _mask("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), mask("v")).withColumn("m", F.least("u", "m"))
+        large = dealt(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("m"), mask("v"))
         hung = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        before, pairs = pairs, written(_dealt(large, small, ["u"], "v").select(F.explode(hung).alias("p")).select("p.*").where("u <> v").distinct())
+        before, pairs = pairs, written(dealt(large, small, ["u"], "v").select(F.explode(hung).alias("p")).select("p.*").where("u <> v").distinct())
         forget(before)
         # Done when no node hangs on two nodes, or on one that hangs itself.
         ends = pairs.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -224,12 +207,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     signed = written(_signatures(evenly(rows), k))
     # A class: all documents with one set. Its representative is its smallest id.
     part = signed.where("doc_id is not null and n > 0")
-    classes = written(part.groupBy("key").agg(F.min("doc_id").alias("rep"), _mask("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "bands", *SKETCH))))
+    classes = written(part.groupBy("key").agg(F.min("doc_id").alias("rep"), mask("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "bands", *SKETCH))))
     sketches = classes.select("rep", "n", *SKETCH)
     bands = classes.select("rep", F.explode("bands").alias("band"))
     leaders = [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"leader{i}") for i in (0, 1)]
-    buckets = bands.groupBy("band").agg(F.count("*").alias("size"), *leaders, _mask("rep")).where("size > 1")
-    members = written(_dealt(bands, buckets, ["band"], "rep"))
+    buckets = bands.groupBy("band").agg(F.count("*").alias("size"), *leaders, mask("rep")).where("size > 1")
+    members = written(dealt(bands, buckets, ["band"], "rep"))
     small = members.where(F.col("size") <= SMALL).select("band", "rep")
     close = small.alias("x").join(small.alias("y"), F.expr("x.band = y.band and x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     # Of its large buckets a class meets a leader of the largest one, and another leader of any.
@@ -248,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     if more is not None and not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     of_class = classes.select("key", "rep", "__mask").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "__mask", F.coalesce("root", "rep").alias("of_class"))
-    out = _dealt(signed.select("doc_id", "n", "key"), of_class, ["key"], "doc_id", "left")
+    out = dealt(signed.select("doc_id", "n", "key"), of_class, ["key"], "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -258,43 +241,92 @@ def _in_blocks(large: DataFrame, roots: DataFrame, classes: DataFrame, rows: Dat
     """u, v: links that join the components left in each bucket; None if every bucket has one."""
     rooted = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     now = written(rooted.join(classes.select("rep", "n"), "rep"))
-    of_root = now.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"), _mask("rep"))
+    of_root = now.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"), mask("rep"))
     of_root = of_root.withColumn("big", (F.col("c") >= BLOCK) | (F.col("s") >= BLOCK_SHINGLES)).withColumnRenamed("__mask", "rows")
     parts = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES, F.lit(1))).cast("int")
     rest = [F.coalesce(F.sum(F.when(~F.col("big"), F.col(c))), F.lit(0)).alias(f"rest_{c}") for c in ("c", "s")]
-    of_band = of_root.groupBy("band").agg(F.count("*").alias("roots"), *rest, _mask("root")).where("roots > 1")
+    of_band = of_root.groupBy("band").agg(F.count("*").alias("roots"), *rest, mask("root")).where("roots > 1")
     if of_band.isEmpty():
         forget(now)
         return None
-    facts = _dealt(of_root, of_band, ["band"], "root")
+    facts = dealt(of_root, of_band, ["band"], "root")
     n_parts = F.when(F.col("big"), parts(F.col("c"), F.col("s"))).otherwise(parts(F.col("rest_c"), F.col("rest_s")))
     facts = facts.select("band", "root", "big", n_parts.alias("parts"), F.col("rows").alias("__mask"))
     place = F.pmod(F.xxhash64(F.when(F.col("big"), F.col("rep")).otherwise(F.col("root")), F.lit(7)), F.col("parts")).cast("int")
-    placed = _dealt(now, facts, ["band", "root"], "rep").select("band", "rep", "root", "big", F.when(F.col("big"), F.col("root")).otherwise(0).alias("of"), place.alias("part"))
+    placed = dealt(now, facts, ["band", "root"], "rep").select("band", "rep", "root", "big", F.when(F.col("big"), F.col("root")).otherwise(0).alias("of"), place.alias("part"))
     placed = written(placed)
     block = ["band", "big", "of", "part"]
     whole, own = Window.partitionBy("band"), Window.partitionBy("band", "big", "of")  # over blocks, not rows
     number = F.row_number().over(whole.orderBy("big", "of", "part")) - 1
     blocks = placed.select(*block).distinct().select(*block, number.alias("no"), F.count("*").over(whole).alias("n_blocks"))
-    blocks = blocks.select("*", F.min("no").over(own).alias("low"), F.max("no").over(own).alias("high"))
-    sets = written(_shingles(rows, placed.select("rep").distinct(), k), records=2000)
-    columns = ["rep", "root", "n", *SKETCH, "bands", "h"]
-    full = placed.join(sets.join(classes.select("rep", "key", "n", "bands", *SKETCH), ["rep", "key"]), "rep")
-    packed = written(full.groupBy(*block).agg(F.collect_list(F.struct(*columns)).alias("rows")).join(blocks, block))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda x: ~F.col("big") | (x < F.col("low")) | (x > F.col("high")))
-    sent = packed.select("band", "rows", "no", F.explode(others).alias("x")).select("band", F.least("no", "x").alias("i"), F.greatest("no", "x").alias("j"), "no", "x", "rows")
-    left = sent.where("no <= x").select("band", "i", "j", F.col("rows").alias("a"))
-    right = sent.where("no >= x").select("band", "i", "j", F.col("rows").alias("b"))
-    met = left.join(right, ["band", "i", "j"])
+    blocks = written(blocks.select("*", F.min("no").over(own).alias("low"), F.max("no").over(own).alias("high")))
+    placed, before = written(placed.join(blocks.select(*block, "no"), block).select("band", "no", "rep", "root")), placed
+    others = F.filter(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1), lambda x: ~F.col("big") | (x < F.col("low")) | (x > F.col("high")))
+    ends = F.transform(others, lambda x: F.struct(F.least("no", x).alias("i"), F.greatest("no", x).alias("j")))
+    told = classes.select("rep", "n", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"), *SKETCH)
+    near = written(_met(placed, told, blocks.select("band", "no", ends.alias("ends")), _near(percent), "band long, i int, j int, u long, v long"), records=64)
+    more = _confirmed(near.where("u is not null").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), rows, k, percent)
+    dense = near.where("u is null").select("band", "i", "j")
+    if not dense.isEmpty():
+        sides = dense.unionByName(dense.select("band", F.col("j").alias("i"), F.col("i").alias("j")))
+        ends = F.collect_set(F.struct(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")))
+        sides = written(sides.groupBy("band", F.col("i").alias("no")).agg(ends.alias("ends")))
+        some = placed.join(sides.select("band", "no"), ["band", "no"])
+        sets = written(_shingles(rows, some.select("rep").distinct(), k), records=2000)
+        full = sets.join(classes.select("rep", "key"), ["rep", "key"]).drop("key").join(told, "rep")
+        found = _met(some, full, sides, _exact(percent), "u long, v long")
+        links = written(more.unionByName(found).distinct(), records=8)
+        forget(more, sides, sets)
+        more = links
+    forget(now, before, blocks, placed, near)
+    return more
+
+
+def _met(placed: DataFrame, of: DataFrame, sides: DataFrame, run, schema: str) -> DataFrame:
+    """What ``run`` makes of the pairs of blocks in ``sides`` (band, no, ends: a list of i, j, one of which is no).
+
+    A block is one row, the list of its rows (``placed``: band, no, rep, root) with what ``of`` (rep, ...) tells of
+    them. It goes to each of its pairs, so that no join has a key with more than two rows.
+    """
+    rows = placed.join(of, "rep")
+    packed = rows.groupBy("band", "no").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in ("band", "no")))).alias("rows"))
+    sent = packed.join(sides, ["band", "no"]).select("band", "no", "rows", F.explode("ends").alias("p")).select("band", "no", "rows", "p.i", "p.j")
+    left, right = (sent.where(f"no = {c}").select("band", "i", "j", F.col("rows").alias(name)) for c, name in (("i", "a"), ("j", "b")))
+    return left.join(right, ["band", "i", "j"]).select("band", "i", "j", "a", "b").mapInArrow(run, schema)
+
+
+def _pairs_of_blocks(batches):
+    """band, i, j and the two blocks of each row of what ``_met`` joins."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield *(batch.column(c)[r].as_py() for c in ("band", "i", "j")), *(Block(batch.column(c)[r].values) for c in "ab")
+
+
+def _near(percent: int):
+    """For a pair of blocks: the pairs of rows that may be links, or one row without a pair where they are many."""
 
     def run(batches):
-        for batch in batches:
-            found = [p for r in range(batch.num_rows) for p in links_of_blocks(*(Block(batch.column(c)[r].values) for c in "ab"), batch.column("band")[r].as_py(), batch.column("i")[r] == batch.column("j")[r], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["u", "v"])
+        for band, i, j, a, b in _pairs_of_blocks(batches):
+            p, q = candidates(a, b, band, i == j, percent)
+            if len(p) > FEW_PAIRS + (len(a.rep) + len(b.rep)) // 4:
+                u = v = [None]
+            else:
+                u, v = a.rep[p], b.rep[q]
+            n = len(u)
+            yield pa.RecordBatch.from_arrays([pa.array([band] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["band", "i", "j", "u", "v"])
 
-    more = written(met.mapInArrow(run, "u long, v long").distinct(), records=8)
-    forget(now, placed, sets, packed)
-    return more
+    return run
+
+
+def _exact(percent: int):
+    """For a pair of blocks: the links that join their components."""
+
+    def run(batches):
+        for band, i, j, a, b in _pairs_of_blocks(batches):
+            found = links_of_blocks(a, b, band, i == j, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["u", "v"])
+
+    return run
 
 
 class Block:
@@ -305,7 +337,8 @@ class Block:
         self.rep, self.root, self.n = (of[c].to_numpy(zero_copy_only=False) for c in ("rep", "root", "n"))
         self.sketch = np.stack([of[c].to_numpy(zero_copy_only=False) for c in SKETCH], 1).view(np.uint64)
         self.bands = of["bands"].flatten().to_numpy(zero_copy_only=False).reshape(len(self.rep), -1)
-        self.h, self.size = of["h"].flatten().to_numpy(zero_copy_only=False), of["h"].value_lengths().to_numpy(zero_copy_only=False)
+        if "h" in of:
+            self.h, self.size = of["h"].flatten().to_numpy(zero_copy_only=False), of["h"].value_lengths().to_numpy(zero_copy_only=False)
 
     def shingles(self, some: np.ndarray) -> np.ndarray:
         """The shingle hashes of the rows ``some`` (sorted), one after the other."""
@@ -334,20 +367,26 @@ def overlaps(a: Block, b: Block, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def links_of_blocks(a: Block, b: Block, band: int, same: bool, percent: int) -> list[tuple[int, int]]:
-    """Links of rows of ``a`` with rows of ``b`` that lie in different components: enough of them to join whatever any
-    such link joins. Pairs that share an earlier band are left to it."""
+def candidates(a: Block, b: Block, band: int, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``a`` and ``b`` of different components whose sizes and sketches allow a link. Pairs that share
+    an earlier band are left to it. (Bands are told by 32 bits here.)"""
     ok = a.root[:, None] != b.root[None, :]
     if same:
         ok &= np.triu(np.ones(ok.shape, bool), 1)
     ok &= np.minimum(a.n[:, None], b.n[None, :]) * 100 >= np.maximum(a.n[:, None], b.n[None, :]) * percent
-    for t in range(int((a.bands == band).any(0).argmax())):
+    for t in range(int((a.bands == band >> 32).any(0).argmax())):
         ok &= a.bands[:, t, None] != b.bands[None, :, t]
     ones = np.zeros(ok.shape, np.uint16)
     for w in range(SKETCH_WORDS):
         ones += np.bitwise_count(a.sketch[:, w, None] ^ b.sketch[None, :, w])
     ok &= ones <= most_ones(percent)
-    p, q = np.nonzero(ok)
+    return np.nonzero(ok)
+
+
+def links_of_blocks(a: Block, b: Block, band: int, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links of rows of ``a`` with rows of ``b`` that lie in different components: enough of them to join whatever any
+    such link joins."""
+    p, q = candidates(a, b, band, same, percent)
     if not len(p):
         return []
     hit = overlaps(a, b, p, q) * (100 + percent) >= (a.n[p] + b.n[q]) * percent

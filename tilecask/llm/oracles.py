@@ -1,8 +1,39 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from .sharding import DIGITS, Feistel
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
+#: The CRC-32 of the sixteen half bytes (polynomial EDB88320, reflected).
+HALF_BYTES = "0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108"
+
+
+def feistel_sql(seed: int, source: str) -> str:
+    """One walk of the permutation over ``source`` (num, x, n, half): num, x after it, n and half. In 128-bit numbers."""
+    word = "18446744073709551615::uhugeint"
+    sql = f"select num, n, half, x >> half as l, x & ((1::uhugeint << half) - 1) as r from {source}"
+    for key in Feistel(2, seed).keys.tolist():
+        sql = f"select *, (xor(r, {key}::uhugeint) * {0x9E3779B97F4A7C15}::uhugeint) & {word} as a from ({sql})"
+        sql = f"select *, (xor(a, a >> 29) * {0xBF58476D1CE4E5B9}::uhugeint) & {word} as b from ({sql})"
+        sql = f"select num, n, half, r as l, xor(l, xor(b, b >> 32) & ((1::uhugeint << half) - 1)) as r from ({sql})"
+    return f"select num, (l << half) | r as x, n, half from ({sql})"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": rf"""
+        with recursive t as (select row_number() over () as i, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        halves as (select i, list_transform(regexp_extract_all(regexp_replace(h, '(.)(.)', '\2\1', 'g'), '.'), lambda c: instr('0123456789ABCDEF', c)::ubigint - 1) as hs from t),
+        crc as (select i, cast(xor(list_reduce(hs, lambda a, c: xor(([{HALF_BYTES}]::ubigint[])[cast(xor(a, c) & 15 as bigint) + 1], a >> 4::ubigint), 4294967295::ubigint), 4294967295::ubigint) as bigint) as text_crc32 from halves),
+        d as (select doc_id, cast(length(h) // 2 + 8 as bigint) as size, text_crc32 from t join crc using (i)),
+        k as (select *, row_number() over (order by substr(md5(concat_ws(',', doc_id::varchar, size::varchar, text_crc32::varchar)), 1, {DIGITS}), doc_id nulls first, size, text_crc32) - 1 as num from d),
+        c as (select count(*)::uhugeint as n, greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2) as half from d),
+        walk as (
+            select num, num::uhugeint as x, n, half::uhugeint as half, false as done from k, c
+            union all select num, x, n, half, x < n as done from ({feistel_sql(20240229, "walk where not done")})
+        )
+        select doc_id, size, text_crc32, 'rows' as law, cast(x % 24 as integer) as shard, cast(x // 24 as bigint) as slot, cast(null as integer) as grown_shard
+        from k join walk using (num) where done
+    """,
     "op5_repeats": rf"""
         with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') as ws from documents),
         win as (select r, doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) as h from d, unnest(range(1, len(ws) - 48)) t(i)),

@@ -6,8 +6,10 @@ left neighbour has an n-gram of its own. Each n-gram is hashed to one of 2^18 we
 text's n-grams, scaled. Scores are sparse dot products: the weights of all n-grams of a slice of texts are gathered and
 summed by text.
 
-Whole texts are scored. Null and empty texts have no n-grams: their score is that of the bias. Equal texts get equal
-scores. With no labelled row, or one label only, the score is the share of label 1 (0.5 if there are none).
+Whole texts are scored, of any length. Null and empty texts have no n-grams: their score is that of the bias. Equal
+texts get equal scores. With no labelled row, or one label only, the score is the share of label 1 (0.5 if there are
+none). An id with both labels counts as label 1; of an id with several texts the least is learned from. An empty table
+gives an empty one; a column named like the score is replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import appended, mixed, sample_of, segment_sums
+from .common import LONG, appended, mixed, sample_of, segment_sums
 
 BITS = 18
 MASK = np.uint64((1 << BITS) - 1)
@@ -56,7 +58,7 @@ def shape(word: str) -> str:
             return "a"
         if word[:-1].isalpha():
             return "a" + word[-1]
-    return _runs(r"\1", word.translate(_kinds))[:12]
+    return _runs(r"\1", word.translate(_kinds))
 
 
 class Words(dict):
@@ -65,9 +67,11 @@ class Words(dict):
     limit = 100_000
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        got = self[word] = xxh3_64_intdigest(word) & ~1023 | xxh3_64_intdigest(shape(word), 7) & 1023
+        got = xxh3_64_intdigest(word) & ~1023 | xxh3_64_intdigest(shape(word), 7) & 1023
+        if len(word) <= LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = got
         return got
 
 

@@ -18,8 +18,12 @@ Maximal repeats are the unions of what was found. Groups are reduced to a least
 third of all documents costs one row per task and is never paired with itself; joins back to the occurrences are
 ordinary equi-joins whose large partitions Spark splits. Hashes are pairs of 64 bits.
 
+The extension is by hashes of runs of words, first of a whole stretch, then of its windows: word by word from pair to
+pair, an anchor in a third of all documents would make pairs without end.
+
 Null ids count as larger than all ids (they lose words, but take none away). Rows with one id take nothing from each
-other. Null texts have no words. Input rows keep their number; repeated rows get equal results.
+other. Null and empty texts have no words; very long ones are one row like others. Input rows keep their number; repeated
+rows get equal results. An empty table gives an empty one.
 """
 
 from __future__ import annotations

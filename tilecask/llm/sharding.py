@@ -4,9 +4,14 @@ Every row gets a global number (no gaps), the number goes through a keyed permut
 follow by arithmetic: position p lies in shard p mod shards, slot p div shards. So shard sizes differ by one row at
 most, slots have no gaps, and where any row number lies can be computed, both ways, without looking at data.
 
-The numbering is the order of (bucket, id, size, crc), the bucket being a hash of the row: rows are counted by bucket,
-the counts are summed up over a fixed number of buckets, and rows are numbered inside their bucket. No sampling takes
-part, so a lost task recomputes the same numbers. Rows equal in all of these are interchangeable. Null ids sort first.
+The numbering is the order of (bucket, id, order columns), the bucket being the beginning of a digest of these: rows are
+counted by bucket, the counts are summed up over a fixed number of buckets, and rows are numbered inside their bucket.
+No sampling takes part, so a lost task recomputes the same numbers. Null ids sort first.
+
+Rows equal in all columns are interchangeable: they are counted before they move and get consecutive numbers, so that
+any share of the table may be one row again and again. All columns must be groupable and orderable; pass narrow rows.
+An empty table gives an empty one. Columns of the names that are added (``row_number``, ``position``, ``shard``,
+``slot``, in any case) are replaced; any others pass through.
 """
 
 from __future__ import annotations
@@ -18,9 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the numbering. At 4,096 a bucket of a table of 30 billion rows has 7 million narrow rows.
-BUCKETS = 4096
+from .common import written
+
+#: Hexadecimal digits of the digest that name a bucket: 4,096 buckets, of a table of 30 billion rows 7 million each.
+DIGITS = 3
 ROUNDS = 6
+#: Equal rows become rows again in pieces of so many.
+PIECE = 1 << 16
+ADDED = ("row_number", "position", "shard", "slot")
 
 
 class Feistel:
@@ -65,27 +75,29 @@ class Feistel:
 
 
 def numbered(rows: DataFrame, id_col: str, order: list[str], number: str = "row_number") -> tuple[DataFrame, int]:
-    """``rows`` with a global number from 0, without gaps, and how many rows there are.
-
-    The window of each bucket spills where it must; equal rows beyond a bucket's fair share would need that many
-    copies of one (id, order) tuple.
-    """
-    keyed = rows.withColumn("__bucket", F.pmod(F.xxhash64(id_col, *order), F.lit(BUCKETS)))
-    counts = {r["__bucket"]: r["n"] for r in keyed.groupBy("__bucket").agg(F.count("*").alias("n")).collect()}  # at most BUCKETS rows
-    base, total = {}, 0
-    for b in sorted(counts):
-        base[b] = total
-        total += counts[b]
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(id_col, *order)).cast("long") - 1
-    out = keyed.withColumn("__within", within)
-    starts = keyed.sparkSession.createDataFrame([(b, n) for b, n in base.items()] or [(0, 0)], "__bucket long, __start long")
-    out = out.join(F.broadcast(starts), "__bucket").withColumn(number, F.col("__start") + F.col("__within"))
-    return out.drop("__bucket", "__within", "__start"), total
+    """``rows`` with a global number from 0, without gaps, and how many rows there are."""
+    text = F.concat_ws(",", *(F.col(c).cast("string") for c in (id_col, *order)))
+    once = rows.groupBy(*rows.columns).agg(F.count("*").alias("__copies"))
+    keyed = written(once.withColumn("__bucket", F.substring(F.md5(text.cast("binary")), 1, DIGITS)))
+    counts = keyed.groupBy("__bucket").agg(F.sum("__copies").alias("n"), F.max("__copies").alias("most")).collect()  # a row for each bucket
+    base, total = [], 0
+    for r in sorted(counts):
+        base.append((r["__bucket"], total))
+        total += r["n"]
+    before = Window.partitionBy("__bucket").orderBy(id_col, *order, *(c for c in rows.columns if c not in (id_col, *order))).rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.sparkSession.createDataFrame(base or [("", 0)], "__bucket string, __start long")
+    out = keyed.withColumn("__within", F.coalesce(F.sum("__copies").over(before), F.lit(0))).join(F.broadcast(starts), "__bucket")
+    out = out.withColumn("__low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(PIECE).cast("long"))))
+    if max((r["most"] for r in counts), default=0) > PIECE:
+        out = out.repartition("__bucket", "__low")
+    copy = F.explode(F.sequence(F.col("__low"), F.least(F.col("__copies"), F.col("__low") + PIECE) - 1))
+    out = out.withColumn("__copy", copy).withColumn(number, (F.col("__start") + F.col("__within") + F.col("__copy")).cast("long"))
+    return out.select(*rows.columns, number), total
 
 
 def sharded(rows: DataFrame, id_col: str, order: list[str], shards: int, seed: int = 20240229) -> DataFrame:
-    """``rows`` with ``row_number``, ``position``, ``shard`` and ``slot``. An empty table gives an empty table."""
-    out, total = numbered(rows, id_col, order)
+    """``rows`` with ``row_number``, ``position``, ``shard`` and ``slot``."""
+    out, total = numbered(rows.select(*[c for c in rows.columns if c.lower() not in ADDED]), id_col, order)
 
     @F.pandas_udf("long")
     def place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -9,7 +9,8 @@ Components are first made integers, floor(scale * x). Sums below 2^53 are exact
 norms allow more are multiplied as Python integers, and scores outside 64 bits are written as the nearest 64-bit number
 (their order is kept). Vectors that are null, or hold null or non-finite components, take no part, nor do rows with a
 null id; vectors of different lengths are not comparable and never meet. Ties go to the smaller id. Rows with one id
-are candidates of their own, but none is a candidate of a query with its id.
+are candidates of their own, but none is a candidate of a query with its id. An empty table, or one without queries, gives
+an empty one. Columns beyond id and vector are not looked at, whatever they are called.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ labelled rows by their log odds.
 
 The trees are fitted to the logistic loss on 32 quantile bins of each feature; scores then go through a non-decreasing
 step function fitted to held-out margins: those of labelled rows under trees and learned words that have not seen the
-row. Null and empty texts have all features 0. With no labelled row, or one label only, the score is the share of label
-1 (0 if there are none).
+row. Null and empty texts have all features 0; very long texts are scored whole. Equal texts get equal scores. With no
+labelled row, or one label only, the score is the share of label 1 (0 if there are none). An id with both labels counts
+as label 1; of an id with several texts the least is learned from. An empty table gives an empty one; a column named
+like the score is replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, sample_of, segment_sums
+from .common import LONG, appended, sample_of, segment_sums
 
 #: The bound of the training sample: labelled rows of lowest hash.
 SAMPLE = 5000
@@ -83,7 +85,9 @@ class Words(dict):
             if hidden and not weight:
                 weight = max(self.weight(_not_letters("", x)) for x in (plain.translate(_signs), plain))
                 uncovered = int(weight > 0)
-        at = self[word] = self.filled + len(self.rows)
+        at = self.filled + len(self.rows)
+        if len(word) <= LONG:  # longer ones get a row each time, until the table is emptied
+            self[word] = at
         self.rows.append((weight, plain in self.second, upper, len(word) > 1 and upper == len(word.strip(".,;:!?")) and upper > 1, marks, other, hidden, uncovered, len(word)))
         return at
 
@@ -99,7 +103,7 @@ class Words(dict):
 
 def features(texts: list[str | None], known: Words) -> np.ndarray:
     """One row of dense features for each text."""
-    if len(known) > known.limit:
+    if known.filled > known.limit:
         known.reset()
     words = [(t or "").split() for t in texts]
     starts = np.zeros(len(texts) + 1, np.int64)
