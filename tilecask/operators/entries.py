@@ -54,8 +54,13 @@ def marked(hashed: DataFrame) -> DataFrame:
 
 def runs(hashed: DataFrame) -> DataFrame:
     """grp (in call order), tile_id, run_length and hash of each entry."""
+    return ordered_runs(hashed).drop("in_order")
+
+
+def ordered_runs(hashed: DataFrame) -> DataFrame:
+    """``runs``, and whether all tiles of the entry are ``in_order``."""
     rows = with_running(marked(hashed), ["seq"], {"grp": (F.col("starts").cast("long"), True)})
-    return plain(rows).groupBy("grp").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run_length"), F.min("hash").alias("hash"))
+    return plain(rows).groupBy("grp").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run_length"), F.min("hash").alias("hash"), F.bool_and("in_order").alias("in_order"))
 
 
 def entries(hashed: DataFrame) -> DataFrame:

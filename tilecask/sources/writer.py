@@ -122,21 +122,21 @@ def write_archive(tiles: DataFrame, path: str, header: codec.Header | None = Non
         first = rows.select("seq", "data", "is_raw").join(once.withColumn("seq", F.col("first_seq")), "seq")
         done = keep(_segments(first, work, tile_codec, level))
         sized = with_running(done, ["first_seq"], {"offset": (F.col("length"), False)})
-        run_rows = keep(stored(ops.runs(line)))
-        found = keep(stored(plain(numbered(ops.located(run_rows, plain(sized))))))
-        stats = ops.statistics(line).first()
-        h.data_length = done.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-        h.n_addressed_tiles, h.n_tile_entries, h.n_tile_contents, h.clustered = stats["n_addressed_tiles"] or None, stats["n_tile_entries"] or None, stats["n_tile_contents"] or None, stats["clustered"]
-        if derive_header and stats["n_addressed_tiles"]:
+        run_rows = keep(stored(ops.ordered_runs(line)))
+        found = ops.located(run_rows, plain(sized))
+        n, addressed, h.clustered = run_rows.agg(F.count("*"), F.sum("run_length"), F.coalesce(F.bool_and("in_order"), F.lit(True))).first()
+        n_contents, h.data_length = done.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        h.n_addressed_tiles, h.n_tile_entries, h.n_tile_contents = addressed or None, n or None, n_contents or None
+        if derive_header and n:
             zooms = zxy_of(np.array(line.agg(F.min("tile_id"), F.max("tile_id")).first()))[0]
             h.min_zoom, h.max_zoom = int(zooms[0]), int(zooms[1])
         root, leaves = b"", []
-        n = stats["n_tile_entries"]
         if n < FLAT_ENTRIES:
-            flat = found.select("ordinal", "tile_id", "offset", "length", "run_length").collect()
-            flat = np.array(sorted(flat), np.int64).reshape(-1, 5)
-            root = compress_internal(codec.encode_directory(*flat.T[1:]))
+            flat = np.array(found.select("tile_id", "grp", "offset", "length", "run_length").collect(), np.int64).reshape(-1, 5)
+            flat = flat[np.lexsort((flat[:, 1], flat[:, 0]))]
+            root = compress_internal(codec.encode_directory(flat[:, 0], *flat.T[2:]))
         if n >= FLAT_ENTRIES or len(root) > codec.ROOT_BUDGET:
+            found = keep(stored(plain(numbered(found))))
             size = first_leaf_size(n)
             while True:
                 leaves = _leaves(found, size, work, internal_codec, level)
