@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilecask.llm import bpe, decontaminate, neardup, quality, repeats
-from tilecask.llm.common import fold, written
+from tilecask.llm.common import fold, forget, written
 from tilecask.llm.queries import table, vocabulary
 
 #: A document is kept where its quality score is at least this.
@@ -89,5 +89,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

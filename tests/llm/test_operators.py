@@ -259,3 +259,15 @@ def test_crc_fold(spark):
 
     df = spark.createDataFrame([(i,) for i in (0, 7, -3)], "doc_id long")
     assert [r[0] for r in df.select(fold("doc_id", 5)).collect()] == [zlib.crc32(str(i).encode()) % 5 for i in (0, 7, -3)]
+
+
+def test_training_samples_have_a_bound_in_bytes(spark):
+    from tilecask.llm.common import learned_from
+
+    docs = spark.createDataFrame([(i, chr(97 + i) * 1000) for i in range(10)] + [(3, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(2, 1), (5, None), (None, 1)], "doc_id long, quality int")
+    whole = learned_from(docs, labels, "doc_id", "quality", "text", 100)
+    assert whole == [(chr(97 + i) * 1000, 1 if i == 2 else i % 2) for i in range(10)]
+    some = learned_from(docs, labels, "doc_id", "quality", "text", 100, most=3500)
+    assert len(some) == 3 and set(some) < set(whole) and some == sorted(some)
+    assert len(learned_from(docs, labels, "doc_id", "quality", "text", 4)) == 4

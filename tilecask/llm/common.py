@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..plans.scratch import evenly, forget, stored
 
-__all__ = ["appended", "evenly", "fold", "forget", "hashed", "mixed", "sample_of", "segment_sums", "slices", "written"]
+__all__ = ["appended", "evenly", "fold", "forget", "hashed", "learned_from", "mixed", "segment_sums", "slices", "written"]
 
 #: Rows are handed to numpy in slices of about so many bytes of text.
 SLICE_BYTES = 1 << 20
@@ -135,12 +135,39 @@ def fold(doc_id: str, parts: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(parts)
 
 
+#: The bytes of text of a training sample that come to the driver.
+SAMPLE_BYTES = 64 << 20
+
+
 def sample_of(docs: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
     """One row of ``docs`` for each row of ``keys``, which holds a key once and is cut to the ``n`` rows of lowest hash.
 
-    ``n`` is the proven bound of what is broadcast and of what the caller collects: of rows with one key, each column's
-    least value is taken.
+    ``n`` is the proven bound of what is broadcast: of rows with one key, each column's least value is taken.
     """
     few = keys.orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key)).limit(n)
     rows = docs.join(F.broadcast(few), key)
     return rows.groupBy(*few.columns).agg(*[F.min(c).alias(c) for c in docs.columns if c != key])
+
+
+def learned_from(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str, n: int, most: int = SAMPLE_BYTES) -> list[tuple[str | None, int]]:
+    """Texts and labels of at most ``n`` rows and about ``most`` bytes, by lowest hash, in order of their key.
+
+    An id with several labels has the highest, one with several texts the least. Null keys and labels are left out.
+    """
+    keys = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__label"))
+    rows = written(sample_of(docs.select(key, text), keys, key, n))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).alias("size")
+    sizes = sorted((r["hash"], r[key], r["size"]) for r in rows.select(key, size, F.xxhash64(F.col(key), F.lit(17)).alias("hash")).collect())  # at most n numbers
+    some, total = [], 0
+    for _, k, s in sizes:
+        total += s
+        if some and total > most:
+            break
+        some.append(k)
+    if len(some) < len(sizes):
+        kept = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in some], f"{key} {rows.schema[key].dataType.simpleString()}")), key)
+    else:
+        kept = rows
+    got = [(r[text], int(r["__label"])) for r in sorted(kept.collect(), key=lambda r: r[key])]
+    forget(rows)
+    return got

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import LONG, appended, mixed, sample_of, segment_sums
+from .common import LONG, appended, learned_from, mixed, segment_sums
 
 BITS = 18
 MASK = np.uint64((1 << BITS) - 1)
@@ -151,10 +151,9 @@ class FtrlClassifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", label: str = "quality", text: str = "text") -> FtrlClassifier:
-    """A classifier from ``labels`` (key, label), of which the ``sample`` rows of lowest hash are used."""
-    keys = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__label"))
-    got = sample_of(docs.select(key, text), keys, key, sample).orderBy(key).select(text, "__label").collect()
-    return FtrlClassifier().fit([r[0] for r in got], [int(r[1]) for r in got])
+    """A classifier from ``labels`` (key, label), of which the ``sample`` rows of lowest hash are used, up to ``SAMPLE_BYTES`` of text."""
+    got = learned_from(docs, labels, key, label, text, sample)
+    return FtrlClassifier().fit([t for t, _ in got], [y for _, y in got])
 
 
 def scored(docs: DataFrame, model: FtrlClassifier, text: str = "text", score: str = "score") -> DataFrame:

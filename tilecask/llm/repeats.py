@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, evenly, hashed, mixed, slices, written
+from .common import WordHash, evenly, forget, hashed, mixed, slices, written
 
 SIZE, GRAM = 50, 8
 LAST = (1 << 63) - 1
@@ -216,6 +216,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id:
         F.flatten(F.collect_set(F.when(F.col("least") < F.col("doc"), pair))).alias("whole"), F.flatten(F.collect_set(F.when(F.col("least") == F.col("doc"), pair))).alias("open")
     )
     by_doc = written(by_doc)
+    forget(seeds, shared)
     opened = keyed.select("doc", "th", "text").join(by_doc.where(F.size("open") > 0).select("doc", "th", "open"), ["doc", "th"])
     windows = written(_windows(opened, size, gram), records=2000)
     least = windows.groupBy("a", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")

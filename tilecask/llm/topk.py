@@ -129,7 +129,7 @@ def _tile_lists(k: int):
 
 def top_k(rows: DataFrame, is_query, k: int, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` best other rows for each row where ``is_query`` holds."""
-    from .common import written
+    from .common import forget, written
 
     spark = rows.sparkSession
     candidates = written(_packed(_quantised(rows, vec_id, vector, scale), BLOCK))
@@ -139,10 +139,11 @@ def top_k(rows: DataFrame, is_query, k: int, vec_id: str = "vec_id", vector: str
     tiles = written(number(queries, "tile").withColumnsRenamed({"ids": "q_ids", "m": "q_m", "norm": "q_norm", "top": "q_top", "n": "q_n"}))
     n_groups = max(1, -(-candidates.count() // GROUP))
     grouped = candidates.withColumn("grp", F.pmod(F.xxhash64("ids"), F.lit(n_groups)))
-    tiles = tiles.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
-    met = tiles.join(grouped.select("grp", "dim", "ids", "m", "norm", "top"), ["grp", "dim"]).sortWithinPartitions("tile", "grp")
+    sent = tiles.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
+    met = sent.join(grouped.select("grp", "dim", "ids", "m", "norm", "top"), ["grp", "dim"]).sortWithinPartitions("tile", "grp")
     lists = met.mapInArrow(_tile_lists(k), "query_id long, grp long, score long, vec_id long")
     lists = written(lists, records=16)  # rows are matrices: few of them at once go to Python
+    forget(candidates, tiles)
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))))
     while n_groups > FAN_IN:
         n_groups = -(-n_groups // FAN_IN)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, appended, sample_of, segment_sums
+from .common import LONG, appended, learned_from, segment_sums
 
 #: The bound of the training sample: labelled rows of lowest hash.
 SAMPLE = 5000
@@ -282,10 +282,9 @@ class ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", label: str = "toxic", text: str = "text") -> ToxicityModel:
-    """A model from ``labels`` (key, label), of which the ``sample`` rows of lowest hash are used."""
-    keys = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__label"))
-    got = sample_of(docs.select(key, text), keys, key, sample).orderBy(key).select(text, "__label").collect()
-    return ToxicityModel().fit([r[0] for r in got], [int(r[1]) for r in got])
+    """A model from ``labels`` (key, label), of which the ``sample`` rows of lowest hash are used, up to ``SAMPLE_BYTES`` of text."""
+    got = learned_from(docs, labels, key, label, text, sample)
+    return ToxicityModel().fit([t for t, _ in got], [y for _, y in got])
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
