@@ -132,6 +132,7 @@ def plain_links(rows, k, percent):
 def test_near_duplicates_of_a_template(spark, n, times, monkeypatch):
     """Few links among many near misses: all are found, also where rows repeat, and few pairs become rows."""
     monkeypatch.setattr(neardup, "BLOCK", 200)
+    monkeypatch.setattr(neardup, "FEW_NODES", n * (times - 1))  # once by a broadcast, once by a shuffle
     made = []
     for name in ("_confirmed", "_in_blocks"):
         def counted(first, *rest, real=getattr(neardup, name), name=name):

@@ -51,6 +51,8 @@ SMALL = 12
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: A pair of blocks gives so many candidates, and one more for four of its rows, or is compared as a whole.
 FEW_PAIRS = 64
+#: So many ids are broadcast, 8 MB.
+FEW_NODES = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -153,8 +155,12 @@ def _with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame
     return dealt(pairs.join(_named(of, "b", columns), "b"), hubs, ["a"], "b")
 
 
-def _shingles(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """rep, key, h (sorted shingle hashes) of the classes whose texts the ids in ``nodes`` (rep) have; each once."""
+def _sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """rep, key, h (sorted shingle hashes) of the classes whose texts the ids in ``nodes`` (rep) have; each once, stored.
+
+    Where the ids are few by count they are broadcast, so that texts stay where they are; else texts meet them by a
+    shuffle.
+    """
 
     def run(batches):
         known = WordHash()
@@ -166,14 +172,17 @@ def _shingles(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             values = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([_digest(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(edges), values)], ["rep", "key", "h"])
 
-    texts = evenly(rows).select(F.col("doc_id").alias("rep"), "text").join(nodes, "rep", "left_semi")
-    return texts.mapInArrow(run, "rep long, key binary, h array<long>").groupBy("rep", "key").agg(F.any_value("h").alias("h"))
+    wanted = written(nodes.distinct())
+    few = F.broadcast(wanted) if wanted.count() <= FEW_NODES else wanted
+    texts = evenly(rows).select(F.col("doc_id").alias("rep"), "text").join(few, "rep", "left_semi")
+    out = written(texts.mapInArrow(run, "rep long, key binary, h array<long>").groupBy("rep", "key").agg(F.any_value("h").alias("h")), records=2000)
+    forget(wanted)
+    return out
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """u, v: those of ``pairs`` (a, b) whose full sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = written(_shingles(rows, nodes, k).drop("key"), records=2000)
+    sets = _sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("rep")), k)
     common = F.size(F.array_intersect("a_h", "b_h"))
     hit = _with_both(pairs, sets, ["h"]).where(common * (100 + percent) >= (F.size("a_h") + F.size("b_h")) * percent)
     out = written(hit.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
@@ -210,7 +219,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     classes = written(part.groupBy("key").agg(F.min("doc_id").alias("rep"), mask("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "bands", *SKETCH))))
     sketches = classes.select("rep", "n", *SKETCH)
     bands = classes.select("rep", F.explode("bands").alias("band"))
-    leaders = [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"leader{i}") for i in (0, 1)]
+    leaders = [F.min("rep").alias("leader0"), F.max("rep").alias("leader1")]
     buckets = bands.groupBy("band").agg(F.count("*").alias("size"), *leaders, mask("rep")).where("size > 1")
     members = written(dealt(bands, buckets, ["band"], "rep"))
     small = members.where(F.col("size") <= SMALL).select("band", "rep")
@@ -272,7 +281,7 @@ def _in_blocks(large: DataFrame, roots: DataFrame, classes: DataFrame, rows: Dat
         ends = F.collect_set(F.struct(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")))
         sides = written(sides.groupBy("band", F.col("i").alias("no")).agg(ends.alias("ends")))
         some = placed.join(sides.select("band", "no"), ["band", "no"])
-        sets = written(_shingles(rows, some.select("rep").distinct(), k), records=2000)
+        sets = _sets(rows, some.select("rep"), k)
         full = sets.join(classes.select("rep", "key"), ["rep", "key"]).drop("key").join(told, "rep")
         found = _met(some, full, sides, _exact(percent), "u long, v long")
         links = written(more.unionByName(found).distinct(), records=8)
