@@ -143,7 +143,7 @@ def test_running_values_over_ranges(spark):
     value = F.when(F.col("grp") % 3 == 0, F.col("grp"))
     found = [
         ordered.with_previous(line, order, ["grp"]).select(*order, F.col("previous.grp").alias("v")),
-        *(ordered.with_running(line, order, {"v": (value, inclusive)}, how).select(*order, "v") for how in ("sum", "max", "last") for inclusive in (True, False)),
+        *(ordered.with_running(line, order, {"v": (value, inclusive)}, how, once=inclusive).select(*order, "v") for how in ("sum", "max", "last") for inclusive in (True, False)),
     ]
     want, previous, seen = [[] for _ in found], None, []
     for t, g in sorted(rows):

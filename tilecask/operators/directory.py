@@ -38,7 +38,7 @@ def decoded(coded: DataFrame) -> DataFrame:
     """ordinal, tile_id, run_length, offset, length: the inverse of ``encoded``."""
     rows = with_running(ranged(coded, ["ordinal"]), ["ordinal"], {"tile_id": (F.col("delta"), True), "before": (F.col("length"), False)})
     base = F.when(F.col("stored_offset") > 0, F.col("stored_offset") - 1 - F.col("before"))
-    rows = with_running(rows, ["ordinal"], {"base": (base, True)}, "last")
+    rows = with_running(rows, ["ordinal"], {"base": (base, True)}, "last", once=True)
     return rows.select("ordinal", "tile_id", "run_length", (F.col("base") + F.col("before")).alias("offset"), "length")
 
 

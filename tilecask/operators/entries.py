@@ -59,7 +59,7 @@ def runs(hashed: DataFrame) -> DataFrame:
 
 def ordered_runs(hashed: DataFrame) -> DataFrame:
     """``runs``, and whether all tiles of the entry are ``in_order``."""
-    rows = with_running(marked(hashed), ["seq"], {"grp": (F.col("starts").cast("long"), True)})
+    rows = with_running(marked(hashed), ["seq"], {"grp": (F.col("starts").cast("long"), True)}, once=True)
     return plain(rows).groupBy("grp").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run_length"), F.min("hash").alias("hash"), F.bool_and("in_order").alias("in_order"))
 
 

@@ -36,26 +36,34 @@ def _last(value: Column | str) -> Column:
     return F.last(value, ignorenulls=True)
 
 
-def with_running(df: DataFrame, order: list[str], wanted: dict[str, tuple[Column, bool]], how: str = "sum") -> DataFrame:
+def with_running(df: DataFrame, order: list[str], wanted: dict[str, tuple[Column, bool]], how: str = "sum", once: bool = False) -> DataFrame:
     """``df`` (ranged) with a column for each of ``wanted``: the sum, maximum (``max``) or last value that is not null
-    (``last``) of a value over all rows before, and the row itself where it is inclusive."""
+    (``last``) of a value over all rows before, and the row itself where it is inclusive.
+
+    ``once``: rows are stored with the values inside their range first, as ``df`` takes windows of its own to compute.
+    """
     of = {"sum": F.sum, "max": F.max, "last": _last}[how]
     names = list(wanted)
     rows = df.withColumns({f"__v{i}": wanted[n][0] for i, n in enumerate(names)})
     total = [F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.struct(*order))) if how == "last" else of(f"__v{i}") for i in range(len(names))]
+
+    def inside(i: int) -> Column:
+        return of(f"__v{i}").over(_inside(order).rowsBetween(Window.unboundedPreceding, 0 if wanted[names[i]][1] else -1))
+
+    if once:
+        rows = stored(rows.withColumns({f"__h{i}": inside(i) for i in range(len(names))}))
     totals = rows.groupBy(_RANGE).agg(*(t.alias(f"__t{i}") for i, t in enumerate(total)))
     over = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
     starts = totals.select(_RANGE, *(of(f"__t{i}").over(over).alias(f"__s{i}") for i in range(len(names))))
 
     def value(i: int) -> Column:
-        frame = _inside(order).rowsBetween(Window.unboundedPreceding, 0 if wanted[names[i]][1] else -1)
-        here, before = of(f"__v{i}").over(frame), F.col(f"__s{i}")
+        here, before = F.col(f"__h{i}") if once else inside(i), F.col(f"__s{i}")
         if how == "sum":
             return (F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))).cast("long")
         return F.greatest(before, here) if how == "max" else F.coalesce(here, before)
 
     out = rows.join(F.broadcast(starts), _RANGE).withColumns({n: value(i) for i, n in enumerate(names)})
-    return out.drop(*(f"__{k}{i}" for k in "vs" for i in range(len(names))))
+    return out.drop(*(f"__{k}{i}" for k in "vhs" for i in range(len(names))))
 
 
 def with_previous(df: DataFrame, order: list[str], columns: list[str], into: str = "previous") -> DataFrame:
