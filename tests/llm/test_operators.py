@@ -149,6 +149,31 @@ def test_near_duplicates_of_a_template(spark, n, times, monkeypatch):
     assert len(made) == 3 and sum(made) < 20 * n and (n < 4000 or made[2] > 0)
 
 
+def test_near_duplicates_move_sets_once_a_cluster(spark):
+    """In clusters of 12 each class is in 11 pairs; its set travels to its id and to its cluster, not to each pair."""
+    rng, rows = random.Random(5), []
+    for c in range(30):
+        base = [f"c{c}w{i}" for i in range(1000)]
+        for _ in range(12):
+            words = list(base)
+            for i in rng.sample(range(1000), 15):
+                words[i] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shuffled = lambda: spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    texts = df.repartition(4).localCheckpoint()
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    kept, before = spark.conf.get(threshold), shuffled()
+    try:
+        spark.conf.set(threshold, "-1")  # as for tables of any size
+        out = neardup.near_duplicates(texts, k=2).select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        spark.conf.set(threshold, kept)
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(i, i // 12 * 12) for i in range(len(rows))]
+    sets, texts_once = 8 * sum(r["n_shingles"] for r in out), sum(len(t) for _, t in rows)
+    assert shuffled() - before < 3 * sets + texts_once
+
+
 def test_near_duplicates_of_nothing(docs):
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 

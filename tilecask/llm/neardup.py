@@ -12,7 +12,9 @@ shingles (fewer words, but not none: the whole sequence as one). Documents are l
    each class meets the leaders of two, so that groups of near copies collapse at two pairs a class. Pairs whose set sizes or sketches rule the threshold out (beyond five standard deviations,
    probability 3e-7) go.
 3. Confirmation on the full sets, as sorted arrays of 64-bit shingle hashes. Texts are read once more for the classes
-   that are in a pair; they never travel with pairs.
+   that are in a pair; they never travel. Pairs are grouped by the least id near both ends, so that those of a cluster
+   meet in one place, and a set goes once to each group that has a pair of it, not to each pair. Groups of more than some
+   ``GROUP_SHINGLES`` are cut into parts by the end of a pair that is in fewer pairs; each pair is in one part.
 4. Larger buckets in which several components are left are compared exactly in blocks: the rows of a bucket are dealt
    into blocks of some ``BLOCK`` rows, a component that fills a block has blocks of its own, and two blocks meet in one
    task unless both belong to one such component. Inside, numpy rules pairs out by component, size, an earlier shared
@@ -51,7 +53,9 @@ SMALL = 12
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: A pair of blocks gives so many candidates, and one more for four of its rows, or is compared as a whole.
 FEW_PAIRS = 64
-#: So many ids are broadcast, 8 MB.
+#: Shingles of the sets that meet in one place to be confirmed, as their pairs count them.
+GROUP_SHINGLES = 1 << 20
+#: A filter of ids has so many words of 64 bits, 8 MB. Up to three ids a word, under 1 % of other ids pass.
 FEW_NODES = 1 << 20
 
 
@@ -155,41 +159,105 @@ def _with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame
     return dealt(pairs.join(_named(of, "b", columns), "b"), hubs, ["a"], "b")
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """rep, key, h (sorted shingle hashes) of the classes whose texts the ids in ``nodes`` (rep) have; each once, stored.
+def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose ``rep`` is in ``nodes`` (rep), and a few others; rows stay where they are.
 
-    Where the ids are few by count they are broadcast, so that texts stay where they are; else texts meet them by a
-    shuffle.
+    What is broadcast is a Bloom filter of ``FEW_NODES`` words, however many nodes there are: an id sets three bits of one
+    word. With more nodes more others pass, and none that is wanted is lost.
     """
+    h = F.xxhash64("rep", F.lit(13))
+    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(63).cast("int")) for at in (40, 46, 52)]
+    told = lambda df: df.withColumns({"__word": F.pmod(h, F.lit(max(1, FEW_NODES))), "__bits": bit[0].bitwiseOR(bit[1]).bitwiseOR(bit[2])})
+    words = told(nodes.select("rep")).groupBy("__word").agg(F.bit_or("__bits").alias("__all"))
+    return told(rows).join(F.broadcast(words), "__word").where("rep is not null and __all & __bits = __bits").drop("__word", "__bits", "__all")
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """rep, key, h (sorted shingle hashes) of the texts of the ids in ``nodes`` (rep) and a few others; each once, in the
+    partitions of rep."""
 
     def run(batches):
-        known = WordHash()
+        known, seen = WordHash(), set()
         for part in slices(batches):
             flat, starts = hashed([words_of(t) for t in part.column("text").to_pylist()], known)
             sets = [shingle_hashes(flat[a:b], k) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            edges = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(x) for x in sets], out=edges[1:])
-            values = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([_digest(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(edges), values)], ["rep", "key", "h"])
-
-    wanted = written(nodes.distinct())
-    few = F.broadcast(wanted) if wanted.count() <= FEW_NODES else wanted
-    texts = evenly(rows).select(F.col("doc_id").alias("rep"), "text").join(few, "rep", "left_semi")
-    out = written(texts.mapInArrow(run, "rep long, key binary, h array<long>").groupBy("rep", "key").agg(F.any_value("h").alias("h")), records=2000)
-    forget(wanted)
+            reps, digests, new = part.column("rep").to_pylist(), [_digest(x) for x in sets], []
+            for i, one in enumerate(zip(reps, digests, strict=True)):
+                if one not in seen:  # repeated rows end here, so that no id has more rows than texts in a task
+                    seen.add(one)
+                    new.append(i)
+            edges = np.zeros(len(new) + 1, np.int32)
+            np.cumsum([len(sets[i]) for i in new], out=edges[1:])
+            values = pa.array(np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in new)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([reps[i] for i in new], pa.int64()), pa.array([digests[i] for i in new], pa.binary()), pa.ListArray.from_arrays(pa.array(edges), values)], ["rep", "key", "h"])
+
+    texts = _among(evenly(rows).select(F.col("doc_id").alias("rep"), "text"), nodes)
+    return texts.mapInArrow(run, "rep long, key binary, h array<long>").repartition("rep").groupBy("rep", "key").agg(F.any_value("h").alias("h"))
+
+
+def _grouped(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, g, part: each of ``pairs`` (a, b) once, and the part of a group in which it is confirmed."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    ends = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"), mask("v")).withColumn("m", F.least("u", "m"))
+    ends = ends.join(classes.groupBy(F.col("rep").alias("u")).agg(F.sum("n").alias("n")), "u")
+    told = dealt(both, ends, ["u"], "v").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    each = written(told.agg(F.min("m").alias("g"), F.sum("n").alias("n"), F.min(F.struct("d", "u"))["u"].alias("x")))
+    groups = each.groupBy("g").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("parts"), mask("x"))
+    part = F.pmod(F.xxhash64("x", F.lit(11)), F.greatest("parts", F.lit(1))).alias("part")
+    out = written(dealt(each, groups, ["g"], "x").select("a", "b", "g", part))
+    forget(each)
     return out
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """u, v: those of ``pairs`` (a, b) whose full sets are similar enough."""
-    sets = _sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("rep")), k)
-    common = F.size(F.array_intersect("a_h", "b_h"))
-    hit = _with_both(pairs, sets, ["h"]).where(common * (100 + percent) >= (F.size("a_h") + F.size("b_h")) * percent)
-    out = written(hit.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-    forget(sets)
+    grouped = _grouped(pairs, classes)
+    ends = grouped.select(F.explode(F.array("a", "b")).alias("rep"), F.struct("g", "part").alias("to"))
+    sets = _sets(rows, ends, k).join(ends.groupBy("rep").agg(F.collect_set("to").alias("to")), "rep")
+    sent = sets.select(F.explode("to").alias("to"), "rep", "h").select("to.g", "to.part", F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "h")
+    asked = grouped.select("g", "part", "a", "b", F.lit(None).cast("array<long>").alias("h"))
+    met = sent.unionByName(asked).repartition("g", "part").sortWithinPartitions("g", "part")
+    out = written(met.mapInArrow(_similar(percent), "u long, v long"), records=2000)
+    forget(grouped)
     return out
 
 
+def _similar(percent: int):
+    """For sorted rows of sets (g, part, a: id, h) and pairs (g, part, a, b): the pairs that are links."""
+
+    def links(sets, pairs):
+        for a, b in pairs:
+            if any(_linked(x, y, percent) for x in sets.get(a, ()) for y in sets.get(b, ())):
+                yield a, b
+
+    def run(batches):
+        at, sets, pairs = None, {}, []
+        for batch in batches:
+            out, h = [], batch.column("h")
+            for r, (g, part, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "part", "a", "b")), strict=True)):
+                if (g, part) != at:
+                    out += links(sets, pairs)
+                    at, sets, pairs = (g, part), {}, []
+                if b is None:
+                    sets.setdefault(a, []).append(h[r].values.to_numpy(zero_copy_only=False))
+                else:
+                    pairs.append((a, b))
+            yield _links(out)
+        yield _links(list(links(sets, pairs)))
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
+        return False
+    return len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= (len(x) + len(y)) * percent
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root of each node of ``links`` (u, v): the smallest node of its component.
 
@@ -213,10 +281,12 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``. Ids are integers."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(_signatures(evenly(rows), k))
+    signatures = written(_signatures(evenly(rows), k))
     # A class: all documents with one set. Its representative is its smallest id.
+    classes = written(signatures.where("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), mask("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "bands", *SKETCH))))
+    signed = written(signatures.select("doc_id", "n", "key"))  # from here on bands and sketches are those of classes
+    forget(signatures)
     part = signed.where("doc_id is not null and n > 0")
-    classes = written(part.groupBy("key").agg(F.min("doc_id").alias("rep"), mask("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "bands", *SKETCH))))
     sketches = classes.select("rep", "n", *SKETCH)
     bands = classes.select("rep", F.explode("bands").alias("band"))
     leaders = [F.min("rep").alias("leader0"), F.max("rep").alias("leader1")]
@@ -229,7 +299,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     led = chosen.select(F.explode(F.array("l0.a", "l1.a")).alias("a"), F.col("rep").alias("b")).where("a <> b")
     met = written(close.unionByName(led).distinct())
     pairs = written(_with_both(met, sketches, ["n", *SKETCH]).where(_may_link(percent, "a_", "b_")).select("a", "b").distinct())
-    links = _confirmed(pairs, rows, k, percent)
+    links = _confirmed(pairs, classes, rows, k, percent)
     # Rows with one id and different texts are one document.
     several = part.groupBy("doc_id").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("doc_id")
     same = part.join(several, "doc_id").join(classes, "key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
@@ -273,21 +343,22 @@ def _in_blocks(large: DataFrame, roots: DataFrame, classes: DataFrame, rows: Dat
     others = F.filter(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1), lambda x: ~F.col("big") | (x < F.col("low")) | (x > F.col("high")))
     ends = F.transform(others, lambda x: F.struct(F.least("no", x).alias("i"), F.greatest("no", x).alias("j")))
     told = classes.select("rep", "n", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"), *SKETCH)
+    told = written(_among(told, placed))  # of all classes few are in such a bucket
     near = written(_met(placed, told, blocks.select("band", "no", ends.alias("ends")), _near(percent), "band long, i int, j int, u long, v long"), records=64)
-    more = _confirmed(near.where("u is not null").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), rows, k, percent)
+    more = _confirmed(near.where("u is not null").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), classes, rows, k, percent)
     dense = near.where("u is null").select("band", "i", "j")
     if not dense.isEmpty():
         sides = dense.unionByName(dense.select("band", F.col("j").alias("i"), F.col("i").alias("j")))
         ends = F.collect_set(F.struct(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")))
         sides = written(sides.groupBy("band", F.col("i").alias("no")).agg(ends.alias("ends")))
         some = placed.join(sides.select("band", "no"), ["band", "no"])
-        sets = _sets(rows, some.select("rep"), k)
+        sets = written(_sets(rows, some.select("rep"), k), records=2000)
         full = sets.join(classes.select("rep", "key"), ["rep", "key"]).drop("key").join(told, "rep")
         found = _met(some, full, sides, _exact(percent), "u long, v long")
         links = written(more.unionByName(found).distinct(), records=8)
         forget(more, sides, sets)
         more = links
-    forget(now, before, blocks, placed, near)
+    forget(now, before, blocks, placed, near, told)
     return more
 
 
@@ -332,8 +403,7 @@ def _exact(percent: int):
 
     def run(batches):
         for band, i, j, a, b in _pairs_of_blocks(batches):
-            found = links_of_blocks(a, b, band, i == j, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["u", "v"])
+            yield _links(links_of_blocks(a, b, band, i == j, percent))
 
     return run
 
