@@ -14,7 +14,8 @@ shingles (fewer words, but not none: the whole sequence as one). Documents are l
 3. Confirmation on the full sets, as sorted arrays of 64-bit shingle hashes. Texts are read once more for the classes
    that are in a pair; they never travel. Pairs are grouped by the least id near both ends, so that those of a cluster
    meet in one place, and a set goes once to each group that has a pair of it, not to each pair. Groups of more than some
-   ``GROUP_SHINGLES`` are cut into parts by the end of a pair that is in fewer pairs; each pair is in one part.
+   ``GROUP_PAIRS`` or ``GROUP_SHINGLES`` are dealt into parts by the end of a pair that is in fewer pairs; each pair is in
+   one part.
 4. Larger buckets in which several components are left are compared exactly in blocks: the rows of a bucket are dealt
    into blocks of some ``BLOCK`` rows, a component that fills a block has blocks of its own, and two blocks meet in one
    task unless both belong to one such component. Inside, numpy rules pairs out by component, size, an earlier shared
@@ -53,8 +54,8 @@ SMALL = 12
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: A pair of blocks gives so many candidates, and one more for four of its rows, or is compared as a whole.
 FEW_PAIRS = 64
-#: Shingles of the sets that meet in one place to be confirmed, as their pairs count them.
-GROUP_SHINGLES = 1 << 20
+#: Pairs that are confirmed in one place, and shingles of their sets, as pairs count them.
+GROUP_PAIRS, GROUP_SHINGLES = 128, 1 << 20
 #: A filter of ids has so many words of 64 bits, 8 MB. Up to three ids a word, under 1 % of other ids pass.
 FEW_NODES = 1 << 20
 
@@ -202,8 +203,9 @@ def _grouped(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ends = ends.join(classes.groupBy(F.col("rep").alias("u")).agg(F.sum("n").alias("n")), "u")
     told = dealt(both, ends, ["u"], "v").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     each = written(told.agg(F.min("m").alias("g"), F.sum("n").alias("n"), F.min(F.struct("d", "u"))["u"].alias("x")))
-    groups = each.groupBy("g").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("parts"), mask("x"))
-    part = F.pmod(F.xxhash64("x", F.lit(11)), F.greatest("parts", F.lit(1))).alias("part")
+    parts = F.ceil(F.greatest(F.count("*") / GROUP_PAIRS, F.sum("n") / GROUP_SHINGLES)).alias("parts")
+    groups = each.groupBy("g").agg(parts, mask("x"))
+    part = F.pmod(F.xxhash64("x", F.lit(11)), F.col("parts")).alias("part")
     out = written(dealt(each, groups, ["g"], "x").select("a", "b", "g", part))
     forget(each)
     return out
