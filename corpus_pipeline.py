@@ -67,9 +67,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every whole text (little-endian 32-bit) and whether decoding them gives the text again."""
-    path = vocabulary(spark)
-    encoded = bpe.encode(docs.select("doc_id", "text"), path)
-    decoded = bpe.decode(encoded, path)
+    decoded = bpe.round_trip(docs.select("doc_id", "text"), vocabulary(spark))
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return decoded.select("doc_id", "ids", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

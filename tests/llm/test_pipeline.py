@@ -43,3 +43,19 @@ def test_near_dedup_keeps_one_of_equal_rows(spark):
     want = [(1, text("a")), (1, text("b")), (2, text("c")), (None, text("d")), (None, text("e")), (3, None)]
     assert out.columns == docs.columns and out.where("source = 'x'").count() == len(want)
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, want))
+
+
+def test_tokens_take_one_python_worker_a_task(spark):
+    """Two in each task, and idle ones that Spark keeps, took an executor of 2 cores over 3000 MB."""
+    texts = [None, "", "a  b\n", "<|endoftext|> it's", "\u65e5\u672c \U0001f600 \xa0x", "w " * 3000, "x" * 5000, "a  b\n"]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, IDS string")
+    out = p.tokens(spark, docs, DATA)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = p.vocabulary(spark)
+    both = p.bpe.decode(p.bpe.encode(docs, path), path).collect()
+    want = sorted((r["doc_id"], bytes(r["ids"]), len(r["ids"]) // 4, r["decoded"] == (r["text"] or "")) for r in both)
+    assert sorted((r["doc_id"], bytes(r["ids"]), r["n_tokens"], r["round_trip"]) for r in out.collect()) == want
+    trip = p.bpe.round_trip(docs, path)
+    assert trip.columns == ["doc_id", "text", "ids", "decoded"]
+    assert sorted((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in trip.collect()) == sorted((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in both)
+    assert trip.where("false").count() == 0 and p.tokens(spark, docs.where("false"), DATA).count() == 0

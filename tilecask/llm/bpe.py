@@ -247,3 +247,22 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
         return lambda all_ids: [[c.decode(i or b"") for i in all_ids]]
 
     return appended(docs, [(text, T.StringType())], make, ids, spread=False)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of each whole text, as by ``encode``, and the text that decoding those ids gives, as by ``decode``.
+
+    Both are made in one Python worker. ``decode(encode(docs))`` has two of them in each task, each with a vocabulary and
+    Arrow batches of its own, and Spark keeps idle workers beside those of later tasks.
+    """
+
+    def make():
+        c = codec(path)
+
+        def both(texts):
+            encoded = c.encode([t or "" for t in texts])
+            return [pa.array(encoded, pa.binary()), [c.decode(i) for i in encoded]]
+
+        return both
+
+    return appended(docs, [(ids, T.BinaryType()), (decoded, T.StringType())], make, text)
